@@ -34,6 +34,18 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to 4 MiB where it is larger, which bounds a worker's memory.
+
+    Texts are held as Arrow, as Python strings and as intermediate arrays at once, by every core.
+    """
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    size = spark.conf.get(name, "64m").lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:], 1)
+    if float(size.rstrip("kmg") or 0) * scale > most:
+        spark.conf.set(name, str(most))
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -56,5 +68,6 @@ def lookup(values: list[int], index: Column) -> Column:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over the executors' cores if the scan gives fewer partitions than there are cores."""
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df

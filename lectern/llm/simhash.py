@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, require
+from lectern.llm.common import cut, require, small_batches
 from lectern.llm.components import Forest, connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Other columns are not looked at.
     """
     require(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
     hashed = cut(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp")))
     classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(link_fingerprints(classes)).withColumnRenamed("node", "fp")
