@@ -14,16 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a private one is set only where the
-    session names none (tests, a laptop). Used for slim tables only, never for whole texts.
+    A private one is set only where the session names none (tests, a laptop).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a slim table in the shared folder and cut its lineage; never used for whole texts."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
