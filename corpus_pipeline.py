@@ -1,6 +1,83 @@
-STAGES = []
+"""The corpus pipeline: language, quality, near-duplicates, packing.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.llm import langid, packing, quality, simhash
+from lectern.llm.common import shared_folder, small_batches, table
+
+#: A text whose best language scores below this is in none of the learned languages.
+LANGUAGE_SCORE = 0.25
+TOKENIZER = "word_bpe_49k.json"
+#: No SQL: the stages learn classifiers, cluster and solve a linear program.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in one of the languages that ``docs`` itself is labelled with.
+
+    Rejected: texts without letters and texts that resemble no language. Without any labelled text
+    nothing can be learned and only texts without letters go.
+    """
+    small_batches(spark)
+    try:
+        model = langid.train(docs)
+    except ValueError:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = docs.withColumn("__found", langid.identify(F.col("text"), model))
+    good = (F.col("__found.lang_pred") != langid.UNKNOWN) & (F.col("__found.score") >= LANGUAGE_SCORE)
+    return found.where(good).drop("__found")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the line classifier, learned from the labels of ``docs``, holds for bad.
+
+    Without labels nothing is dropped.
+    """
+    small_batches(spark)
+    try:
+        model = quality.train(docs, table(spark, sf_dir, "labels"))
+    except ValueError:
+        return docs
+    return docs.withColumn("__score", quality.assess(F.col("text"), model)).where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each near-duplicate component, once if it is repeated.
+
+    Documents without an id are kept only where their component has no id at all, one of them.
+    """
+    groups = simhash.near_duplicates(docs)
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    keep = groups.where("doc_id <=> component_id").select(key.alias("__key")).distinct()
+    kept = docs.withColumn("__key", key).join(keep, "__key", "left_semi")
+    once = Window.partitionBy("__key").orderBy("text")
+    return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all that is left into sequences of 4096 tokens: one row per piece."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("language_id", language_id), ("quality", quality_filter), ("near_dedup", near_dedup), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; stage results are written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
