@@ -1,31 +1,31 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-A pre-token is a linked list of byte spans. Every merge rank has a bucket of list positions, and a
-hierarchy of bitmaps marks the ranks whose buckets hold anything: finding the next rank is one
-find-first-set per level. A merge changes the pairs of its neighbours; their old queue entries are not
-searched for but skipped as stale when they come up. A pre-token of n bytes so costs O(n log n) list
-steps, which suits pre-tokens of millions of bytes.
+The pre-tokens to encode are linked lists of byte spans, laid end to end. Every merge rank has a bucket
+of list positions, and a hierarchy of bitmaps marks the ranks whose buckets hold anything: finding the
+next rank is one find-first-set per level. A merge changes the pairs of its neighbours; their old queue
+entries are not searched for but skipped as stale when they come up. n bytes so cost O(n log n) list
+steps, whether they are one pre-token of millions of bytes or many short ones.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import require, spread
-from lectern.llm.store import ChunkStore, runs
+from lectern.llm.store import ChunkStore, gathered, no_collector, runs
 
 
 class RankQueue:
-    """A priority queue over small integer ranks, each with a bucket of positions, leftmost first."""
+    """Buckets of positions by small integer rank, under bitmaps that find the lowest rank in use."""
 
     def __init__(self, ranks: int) -> None:
         self.levels: list[list[int]] = []
@@ -34,49 +34,37 @@ class RankQueue:
             self.levels.append([0] * max(1, ranks))
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: list[int]) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket += positions
             return
-        self.buckets[rank] = [position]
-        self._mark(rank)
-
-    def fill(self, buckets: dict[int, list[int]]) -> None:
-        """Load an empty queue."""
-        self.buckets = buckets
-        for rank, bucket in buckets.items():
-            heapify(bucket)
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
+        self.buckets[rank] = positions
         for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
+            word = rank >> 6
             was = level[word]
-            level[word] = was | bit
+            level[word] = was | 1 << (rank & 63)
             if was:
                 break
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position; None when nothing is left."""
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its bucket, leftmost position first; None when nothing is left."""
         rank = 0
         for level in reversed(self.levels):
             bits = level[rank]
             if not bits:
                 return None
             rank = rank << 6 | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                level[at >> 6] &= ~(1 << (at & 63))
-                if level[at >> 6]:
-                    break
-                at >>= 6
-        return rank, position
+        at = rank
+        for level in self.levels:
+            level[at >> 6] &= ~(1 << (at & 63))
+            if level[at >> 6]:
+                break
+            at >>= 6
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
 
 
 class ByteBPE:
@@ -88,7 +76,12 @@ class ByteBPE:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
         self.store = ChunkStore(self._chunks)
 
     @classmethod
@@ -96,83 +89,109 @@ class ByteBPE:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token; all go through one queue, in which they don't meet."""
         ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [ranks.get(piece[i : i + 2]) for i in range(n - 1)] + [None]
-        buckets: dict[int, list[int]] = {}
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                buckets.setdefault(rank, []).append(i)
+        text = b"".join(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        n = len(text)
+        limit = np.repeat(ends, sizes)
+        codes = np.frombuffer(text, np.uint8).astype(np.int64)
+        first = np.full(n, -1, np.int64)
+        if n > 1:
+            first[:-1] = np.where(np.arange(1, n) < limit[:-1], self.pairs[codes[:-1] << 8 | codes[1:]], -1)
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
         queue = self.queue
-        queue.fill(buckets)
+        cuts = np.flatnonzero(np.diff(first[order], prepend=-1))
+        for rank, part in zip(first[order[cuts]].tolist(), np.split(order, cuts[1:]) if len(cuts) else [], strict=True):
+            queue.push(rank, part.tolist())
+        pair, limit = first.tolist(), limit.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (top := queue.pop()) is not None:
-            rank, i = top
-            if pair[i] != rank:
-                continue
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = None
-            if end < n:
-                before[end] = i
-                pair[i] = found = ranks.get(piece[i : after[end]])
-                if found is not None:
-                    queue.push(found, i)
-            else:
-                pair[i] = None
-            left = before[i]
-            if left >= 0:
-                pair[left] = found = ranks.get(piece[left:end])
-                if found is not None:
-                    queue.push(found, left)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
-
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        out, known = [], self.known
-        if len(known) > 300_000:
-            known.clear()
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in self.pattern.findall(chunk):
-                found = known.get(piece)
-                if found is None:
-                    found = self.merge(piece.encode("utf-8", "replace"))
-                    if len(piece) <= 64:
-                        known[piece] = found
-                ids += found
+            rank, bucket = top
+            for k, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue
+                gone = after[i]
+                end = after[i] = after[gone]
+                stop, pair[gone], least = limit[i], -1, rank
+                if end < stop:
+                    before[end] = i
+                    pair[i] = found = ranks.get(text[i : after[end]], -1)
+                    if found >= 0:
+                        queue.push(found, [i])
+                        least = found
+                else:
+                    pair[i] = -1
+                left = before[i]
+                if left >= 0 and limit[left] == stop:
+                    pair[left] = found = ranks.get(text[left:end], -1)
+                    if found >= 0:
+                        queue.push(found, [left])
+                        least = min(least, found)
+                if least < rank:
+                    # a lower rank came up: what is left of this bucket waits for it
+                    if k + 1 < len(bucket):
+                        queue.push(rank, bucket[k + 1 :])
+                    break
+        out, i = [], 0
+        for end in ends.tolist():
+            ids = []
+            while i < end:
+                ids.append(ranks[text[i : after[i]]])
+                i = after[i]
             out.append(ids)
         return out
 
-    def split(self, text: str) -> list[str]:
-        """Chunks that no pre-token crosses: cuts beside single spaces and line ends, else the whole text."""
-        if "\0" in text or _SPACES.search(text):
-            return self.pattern.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        for low, high in runs(texts):
-            split = [self.split(x) for x in texts[low:high]]
-            self.store.learn(split)
-            yield from map(self.store.ids, split)
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pre-tokens, those that are tokens themselves at once."""
+        raw = [(x, x.encode("utf-8", "replace")) for x in pieces]
+        self.known.update((x, [self.ranks[b]]) for x, b in raw if b in self.ranks)
+        rest = [(x, b) for x, b in raw if b not in self.ranks]
+        self.known.update(zip((x for x, _ in rest), self.merge_all([b for _, b in rest]), strict=True))
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > 300_000:
+            self.known, self.before = {}, self.known
+        known, before, find = self.known, self.before, self.pattern.findall
+        split = [find(c) for c in chunks]
+        fresh = {p for pieces in split for p in pieces if p not in known}
+        known.update((p, before[p]) for p in fresh if p in before)
+        self._learn([p for p in fresh if p not in before])
+        ids = [[x for p in pieces for x in known[p]] for pieces in split]
+        for p in fresh:
+            if len(p) > 64:
+                del known[p]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def encode_all(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null counts as empty.
+
+        A text is cut into chunks that no pre-token crosses, beside single spaces and line ends; one with
+        adjacent white space or a NUL is cut into its pre-tokens.
+        """
+        for part in runs(texts):
+            odd = pc.match_substring_regex(part, _ODD)
+            whole = part.filter(odd)
+            plain = pc.replace_substring(pc.replace_substring(part.filter(pc.invert(odd)), " ", "\0 "), "\n", "\0\n\0")
+            even = iter(self.store.texts(pc.split_pattern(plain, "\0")))
+            rest = iter(self.store.texts(pa.array([self.pattern.findall(x) for x in whole.to_pylist()], pa.list_(pa.string()))))
+            yield from (next(rest) if x else next(even) for x in odd.to_pylist())
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text])).tolist()
+        return next(self.encode_all(pa.array([text]))).tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that some ids stand for."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-_SPACES = re.compile(r"\s\s")
+#: Two characters of white space (ASCII's separators counted in), or a NUL.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"{_BLANK}{_BLANK}|\x00"
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 
@@ -200,12 +219,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(ranks, pattern)
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for low, high in runs(texts):
-                ids = list(coder.encode_all(texts[low:high]))
+        for batch in gathered(batches):
+            docs = iter(batch.column(0).to_pylist())
+            for part in runs(batch.column(1)):
+                with no_collector():
+                    ids = list(coder.encode_all(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[low:high], pa.int64()), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())],
+                    [pa.array([next(docs) for _ in ids], pa.int64()), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())],
                     names=["doc_id", "ids", "decoded"],
                 )
 

@@ -12,18 +12,21 @@ dealt to the slots of the patterns.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import cut, lookup, require, spread
-from lectern.llm.store import ChunkStore, runs
+from lectern.llm.store import ChunkStore, expand, gathered, no_collector, per_text, runs
 
 SEQUENCE_TOKENS, CLASS_TOKENS, END_ID = 4096, 16, 2
 #: Pieces that one task ranks together, about.
@@ -35,29 +38,75 @@ PIECES = T.StructType(
 
 
 class WordEncoder:
-    """Encodes texts with a word-level tokenizer, chunk by white-space separated chunk.
+    """Encodes texts with a word-level tokenizer by their white-space separated chunks.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in
-    order, and a chunk seen before costs a dictionary look-up.
+    order. Only a batch's distinct chunks are looked at; a chunk is a root, or a root and one point after
+    a letter, which is always a token of its own, and only unseen roots are tokenised.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.store = Tokenizer.from_file(path), ChunkStore(self._chunks)
-
-    def _chunks(self, chunks: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        for low, high in runs(texts):
-            split = [x.encode("utf-8", "replace").split() for x in texts[low:high]]
-            self.store.learn(split)
-            yield from map(self.store.ids, split)
-
-
+        self.tokenizer = Tokenizer.from_file(path)
+        # roots of letters only need neither normalizer nor pattern: the model alone takes them
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+        self.store = ChunkStore(self._encode)
+        self.point_ids = np.array([self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in _POINTS], np.uint32)
+
+    def _encode(self, roots: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((x.isalpha() for x in roots), bool, len(roots))
+        text = " ".join([x for x in roots if x.isalpha()])
+        if not unicodedata.is_normalized("NFC", text) or "\u03a3" in text or "\u0130" in text:
+            plain[:] = False
+        flat, counts = [], np.zeros(len(roots), np.int64)
+        if plain.any():
+            ids = np.array(self.model.encode_batch_fast([_byte_level(text.lower())], add_special_tokens=False)[0].ids, np.uint32)
+            counts[plain] = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+            flat.append(ids)
+        if not plain.all():
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([x for x, p in zip(roots, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+            counts[~plain] = np.fromiter(map(len, found), np.int64, len(found))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        order = np.empty(len(roots), np.int64)
+        order[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(roots))
+        return expand(np.concatenate(flat), np.r_[counts[plain], counts[~plain]], order)
+
+    def _chunk_ids(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and their numbers, of distinct chunks."""
+        low = pc.if_else(pc.string_is_ascii(chunks), pc.ascii_lower(chunks), chunks)
+        parts = pc.extract_regex(low, rf"^(?P<root>(?s:.*)[a-zß-öø-ÿ])(?P<point>[{_POINTS}])$")
+        roots = pc.coalesce(pc.struct_field(parts, "root"), low).dictionary_encode()
+        flat, counts = expand(*self.store.ids(roots.dictionary.to_pylist()), roots.indices.to_numpy(zero_copy_only=False))
+        point = pc.fill_null(pc.index_in(pc.struct_field(parts, "point"), pa.array(list(_POINTS))), -1).to_numpy(zero_copy_only=False)
+        both = counts + (point >= 0)
+        out = np.empty(int(both.sum()), np.uint32)
+        last = np.zeros(len(out), bool)
+        last[np.cumsum(both)[point >= 0] - 1] = True
+        out[last], out[~last] = self.point_ids[point[point >= 0]], flat
+        return out, both
+
+    def encode_all(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null counts as empty."""
+        for part in runs(texts):
+            split = pc.ascii_split_whitespace(part)
+            chunks = split.flatten().dictionary_encode()
+            flat, counts = expand(*self._chunk_ids(chunks.dictionary), chunks.indices.to_numpy(zero_copy_only=False))
+            yield from per_text(split, flat, counts)
+
+
+def _byte_level(text: str) -> str:
+    """UTF-8 bytes as the letters that byte-level vocabularies write them with; blanks stay."""
+    return text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(_SHIFTED)
+
+
+_POINTS = ".,;:!?"
+#: Bytes above ASCII that byte-level vocabularies don't write as the Latin-1 letter of the same number.
+_SHIFTED = {b: 0x100 + 34 + k for k, b in enumerate(range(0x80, 0xA1))} | {0xAD: 0x143}
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -71,10 +120,11 @@ def loaded(path: str) -> WordEncoder:
 def _cut_documents(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
-        for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+        for batch in gathered(batches):
             rows = []
-            for doc, ids in zip(docs, encoder.encode_all(texts), strict=True):
+            with no_collector():
+                coded = list(encoder.encode_all(batch.column(1)))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]

@@ -2,62 +2,127 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterator, Sequence
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+
+class _Generation:
+    """Codes and the ids behind them in one growing array."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 18, np.uint32), 0
+        self.starts, self.counts = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.filled = 0
+
+    def append(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = self.filled + len(counts), self.used + len(ids)
+        while n > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : used] = ids
+        self.counts[self.filled : n] = counts
+        self.starts[self.filled : n] = self.used + np.cumsum(counts) - counts
+        self.filled, self.used = n, used
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some codes in order, and how many each has."""
+        counts = self.counts[codes]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[codes] - (ends - counts), counts) + np.arange(total)], counts
+
+
+def expand(flat: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some entries in order, and how many each has, from all entries' ids end to end."""
+    starts, sizes = np.cumsum(counts) - counts, counts[wanted]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[wanted] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
 class ChunkStore:
-    """Maps chunks to token ids and concatenates the ids of whole texts with array operations.
+    """Keeps the token ids of distinct chunks.
 
-    ``encode`` turns a list of unseen chunks into their ids. The store is emptied when it would pass
-    ``keep`` chunks or ``keep_ids`` ids, which bounds memory and changes no result.
+    ``encode`` gives unseen chunks' ids end to end and how many each has. Two generations are kept: when
+    the younger one passes ``keep`` chunks or ``keep_ids`` ids, the older is dropped. That bounds memory,
+    keeps what is in use, and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]], keep: int = 400_000, keep_ids: int = 8_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 300_000, keep_ids: int = 4_000_000) -> None:
         self.encode, self.keep, self.keep_ids = encode, keep, keep_ids
-        self._reset(0)
-
-    def _reset(self, coming: int) -> None:
-        self.code: dict[Hashable, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.count = (np.empty(max(self.keep, coming) + 1, np.int64) for _ in range(2))
-
-    def learn(self, texts: list[list]) -> None:
-        """Make sure that every chunk of these texts is known until the next call."""
-        code = self.code
-        fresh = list({c for chunks in texts for c in chunks if c not in code})
-        if len(code) + len(fresh) > self.keep or self.used > self.keep_ids:
-            fresh = list({c for chunks in texts for c in chunks})
-            self._reset(len(fresh))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for chunk, ids in zip(part, self.encode(part), strict=True):
-                n, end = len(self.code), self.used + len(ids)
-                while end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[self.used : end] = ids
-                self.start[n], self.count[n], self.code[chunk] = self.used, len(ids), n
-                self.used = end
-
-    def ids(self, chunks: list) -> np.ndarray:
-        """The ids of one text, as its chunks' ids in order."""
-        if not chunks:
-            return np.empty(0, np.uint32)
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        count = self.count[codes]
-        ends = np.cumsum(count)
-        shift = np.repeat(self.start[codes] - (ends - count), count)
-        return self.flat[shift + np.arange(int(ends[-1]))]
-
-
-def runs(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows whose texts hold about ``chars`` characters each."""
-    at = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= chars:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+        self.young, self.old = _Generation(), _Generation()
+
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks end to end, and how many each has.
+
+        Unseen chunks get the next codes of the young generation, then those only the old one knows.
+        """
+        if len(self.young.codes) > self.keep or self.young.used > self.keep_ids:
+            self.young, self.old = _Generation(), self.young
+        young, old = self.young.codes, self.old.codes
+        new = [c for c in chunks if c not in young]
+        fresh, again = [c for c in new if c not in old], [c for c in new if c in old]
+        young.update(zip(chain(fresh, again), range(len(young), len(young) + len(new)), strict=True))
+        if fresh:
+            self.young.append(*self.encode(fresh))
+        if again:
+            self.young.append(*self.old.gather(np.fromiter(map(old.__getitem__, again), np.int64, len(again))))
+        return self.young.gather(np.fromiter(map(young.__getitem__, chunks), np.int64, len(chunks)))
+
+    def texts(self, texts: pa.ListArray) -> list[np.ndarray]:
+        """The ids of each text, a list of chunks, as its chunks' ids in order."""
+        chunks = texts.flatten().dictionary_encode()
+        flat, counts = expand(*self.ids(chunks.dictionary.to_pylist()), chunks.indices.to_numpy(zero_copy_only=False))
+        return per_text(texts, flat, counts)
+
+
+def per_text(texts: pa.ListArray, flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Cut the ids of all chunks of some texts into the texts' ids."""
+    if not len(texts):
+        return []
+    ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+    return np.split(flat, np.r_[0, np.cumsum(counts)][ends][:-1])
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Keep the cycle collector from walking the stores again and again; encoding makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def runs(texts: pa.StringArray, size: int = 8_000_000) -> Iterator[pa.StringArray]:
+    """Slices of a text column of about ``size`` bytes each, without nulls."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``size`` bytes: distinct chunks are then fewer."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
