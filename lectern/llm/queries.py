@@ -124,6 +124,47 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FRO
 """
 
 
+def _escaped(column: str) -> str:
+    """DuckDB SQL for the length of an escaped text."""
+    out = f"replace({column}, '~', '~0')"
+    for k, control in enumerate(chat.CONTROLS, 1):
+        out = f"replace({out}, '{control}', '~{k}')"
+    return f"length({out})"
+
+
+#: Digests from the turns themselves; the formatted length by summing up the windows' turns.
+_OP8_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{_PLANTED}'
+), r AS (
+  SELECT *, row_number() OVER w - 1 AS n, (strlen(text) + {chat.TOKEN_CHARS - 1}) // {chat.TOKEN_CHARS} + {chat.TURN_TOKENS} AS tok,
+         {_escaped("role")} + {_escaped("text")} + 11 AS chars FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), p AS (
+  SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         first(role) OVER w = 'system' AS sys, first(tok) OVER w AS sys_tok, first(chars) OVER w AS sys_chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+), q AS (
+  SELECT *, greatest(2, {chat.WINDOW_TOKENS - chat.HISTORY_TOKENS} - CASE WHEN sys THEN sys_tok ELSE 0 END) // 2 AS half FROM p
+), w AS (
+  SELECT *, (before // half) * 2 + CASE WHEN tok > half THEN 1 ELSE 0 END AS win FROM q
+), f AS (
+  SELECT conv_id, win, min(n) AS first, CASE WHEN any_value(sys) AND min(n) > 0 THEN any_value(sys_chars) ELSE 0 END AS extra FROM w GROUP BY conv_id, win
+), h AS (
+  SELECT f.conv_id, w.chars, sum(w.tok) OVER (PARTITION BY f.conv_id, f.win ORDER BY w.n DESC) AS upto
+  FROM f JOIN w ON w.conv_id = f.conv_id AND w.n < f.first AND w.n >= f.first - {chat.HISTORY_TURNS} AND NOT (w.sys AND w.n = 0)
+), c AS (
+  SELECT conv_id, sum(chars) AS chars FROM (
+    SELECT conv_id, chars FROM w UNION ALL SELECT conv_id, extra FROM f UNION ALL SELECT conv_id, chars FROM h WHERE upto <= {chat.HISTORY_TOKENS}
+  ) GROUP BY conv_id
+), d AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '') AS loss
+  FROM r GROUP BY conv_id
+)
+SELECT d.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(c.chars AS BIGINT) AS formatted_chars
+FROM d JOIN c ON c.conv_id = d.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op3_url_filters": _OP3_SQL}
+    return {"op3_url_filters": _OP3_SQL, "op8_chat_formatting": _OP8_SQL}
