@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import require
+from lectern.llm.common import require, small_batches
 
 SKETCH_SIZE, SHINGLE_WORDS = 128, 5
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -170,29 +170,45 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ranges(order: Column, low: int, high: int, cuts: list[int], fine: int) -> Column:
+    """The number of an id's range: between which cuts it lies, and which of ``fine`` equal parts in between."""
+    lows, highs = [low, *cuts], [*cuts, high + 1]
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
+    index = F.size(F.filter(longs(cuts), lambda c: c <= order))
+    start, end = (F.get(longs(xs), index).cast("double") for xs in (lows, highs))
+    part = F.floor((order.cast("double") - start) / F.greatest(end - start, F.lit(1.0)) * fine)
+    return (index * fine + F.least(part, F.lit(fine - 1))).cast("int")
+
+
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ranges: int = 65_536) -> DataFrame:
     """Fingerprint every text and the text edited with its successor in descending id order.
 
-    The successor of the least id is the greatest. Ids are cut into ranges, one shuffle brings each
-    range's texts together in order, and the first document of the next range comes along as a ghost;
-    only one id per range reaches the driver. Null texts count as empty, a null id sorts below all
-    others, repeated ids follow each other by text. An empty table gives no rows; other columns are
-    not looked at.
+    The successor of the least id is the greatest. Ids are cut into at most ``max_ranges`` ranges, one
+    shuffle brings each range's texts together in order, and the first document of the next range comes
+    along as a ghost; only one id per range reaches the driver and is broadcast. Null texts count as
+    empty, a null id sorts below all others, repeated ids follow each other by text. An empty table gives
+    no rows; other columns are not looked at.
     """
     require(docs, id_col, text_col)
+    spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(_LEAST))
-    count = max(slim.rdd.getNumPartitions(), slim.sparkSession.sparkContext.defaultParallelism)
-    cuts = slim.select(F.percentile_approx(order, [k / count for k in range(1, count)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < order)) if cuts else F.lit(0)
+    count = min(max_ranges, 3 * max(slim.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    coarse = min(count, 256)
+    shares = [k / coarse for k in range(1, coarse)]
+    ids = slim.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.percentile_approx(order, shares or [0.5], 10_000).alias("cuts")).first()
+    if ids["low"] is None:
+        return spark.createDataFrame([], EDITED)
+    cuts = sorted({c for c in ids["cuts"] if c > ids["low"]})
+    bucket = _ranges(order, ids["low"], ids["high"], cuts, -(-count // coarse))
     tops = sorted((r["bucket"], r["top"]) for r in slim.groupBy(bucket.alias("bucket")).agg(F.max(order).alias("top")).collect())
-    if not tops:
-        return slim.sparkSession.createDataFrame([], EDITED)
-    ghosts = {top: tops[(k + 1) % len(tops)][0] for k, (_, top) in enumerate(tops)}
-    target = F.element_at(F.create_map(*[F.lit(x) for pair in ghosts.items() for x in pair]), order)
-    place = lambda at, ghost: F.struct(at.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    places = F.when(target.isNull(), F.array(place(bucket, False))).otherwise(F.array(place(bucket, False), place(target, True)))
-    dealt = slim.select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.ghost", "doc_id", "text")
+    ghosts = spark.createDataFrame([(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)], "top long, target int")
+    # at most max_ranges rows of two numbers
+    placed = slim.withColumn("order", order).join(F.broadcast(ghosts), F.col("order") == F.col("top"), "left")
+    place = lambda at, ghost: F.struct(at.alias("bucket"), F.lit(ghost).alias("ghost"))
+    own = place(bucket, False)
+    places = F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, place(F.col("target"), True)))
+    dealt = placed.select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.ghost", "doc_id", "text")
     sorted_ = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "text")
     return sorted_.mapInArrow(_chain, EDITED)

@@ -166,6 +166,17 @@ def identify(text: Column, model: Model) -> Column:
     return run(text)
 
 
+def accepts(text: Column, model: Model, least_score: float) -> Column:
+    """Whether a text is in one of the model's languages with at least ``least_score``."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        langs, scores = predict(model, [x if isinstance(x, str) else None for x in texts])
+        return pd.Series([lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores.tolist(), strict=True)], dtype=bool)
+
+    return run(text)
+
+
 def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang_pred, score`` for every row.
 
