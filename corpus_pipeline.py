@@ -34,9 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         model = langid.train(docs)
     except ValueError:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = docs.withColumn("__found", langid.identify(F.col("text"), model))
-    good = (F.col("__found.lang_pred") != langid.UNKNOWN) & (F.col("__found.score") >= LANGUAGE_SCORE)
-    return found.where(good).drop("__found")
+    return docs.where(langid.accepts(F.col("text"), model, LANGUAGE_SCORE))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +47,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         model = quality.train(docs, table(spark, sf_dir, "labels"))
     except ValueError:
         return docs
-    return docs.withColumn("__score", quality.assess(F.col("text"), model)).where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    return docs.where(quality.assess(F.col("text"), model) >= quality.THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +56,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id are kept only where their component has no id at all, one of them.
     """
     groups = simhash.near_duplicates(docs)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keep = groups.where("doc_id <=> component_id").select(key.alias("__key")).distinct()
-    kept = docs.withColumn("__key", key).join(keep, "__key", "left_semi")
-    once = Window.partitionBy("__key").orderBy("text")
-    return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(*docs.columns)
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+    keep = groups.where("doc_id <=> component_id").select(key).distinct()
+    kept = docs.select(key, F.struct("*").alias("row")).join(keep, "key", "left_semi")
+    once = Window.partitionBy("key").orderBy("row.text")
+    return kept.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
