@@ -5,9 +5,10 @@ window repeats the system turn and a limited history; only turns new to a window
 so the loss mask covers each assistant text exactly once. Control strings inside texts are escaped
 reversibly, so marks in the output are always the template's own.
 
-Prefix sums and turn numbers are made in two levels, over blocks of turns and then within blocks, and
-history finds its windows by an equi-join on turn numbers, so a conversation that holds a third of all
-turns is spread over many tasks.
+Turns are dealt once, by conversation and block of turns, and everything but a small table of blocks
+stays where it is: windows lie within blocks, prefix sums are made within blocks and then over blocks,
+and a block gets the last turns of the one before as its first history. So a conversation that holds a
+third of all turns is spread over many tasks, and texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -41,36 +42,45 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("~0"), F.lit("~"))
 
 
-def _numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with number, tokens before them and block; and per block what precedes it and the system turn."""
-    clean = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    running = order.rowsBetween(Window.unboundedPreceding, -1)
-    local = clean.withColumn("n", F.row_number().over(order).cast("long") - 1).withColumn("s", F.coalesce(F.sum("tokens").over(running), F.lit(0)))
-    first = F.min(F.when(F.col("n") == 0, F.struct("role", "text", "tokens")))
-    blocks = local.groupBy("conv_id", "block").agg(F.count("*").alias("rows"), F.sum("tokens").alias("sum"), first.alias("head"))
-    over = Window.partitionBy("conv_id").orderBy("block")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    # one row per 256 turns of a conversation; the first block's first turn is the system turn or none
-    head = F.first("head").over(over)
+def _turn(*names: str) -> Column:
+    return F.struct(*[F.col(n) for n in names])
+
+
+def _placed(turns: DataFrame, history_turns: int) -> DataFrame:
+    """Turns with their number ``n`` and the tokens before them in their block, and what the block needs to know.
+
+    That is the turns before the block, the conversation's system turn or null, and the last turns of the
+    block before.
+    """
+    cut = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))))
+    order = Window.partitionBy("cid", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("n", F.row_number().over(order).cast("long") - 1).withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("left") <= history_turns, _turn("n", "role", "text", "tokens"))))), 1, max(history_turns, 1))
+    left = F.count("*").over(Window.partitionBy("cid", "block")) - F.col("n")
+    head = F.min(F.when(F.col("n") == 0, _turn("role", "text", "tokens")))
+    blocks = local.withColumn("left", left).groupBy("cid", "block").agg(F.count("*").alias("rows"), head.alias("head"), tail.alias("tail"))
+    # one row per 256 turns of a conversation
+    over = Window.partitionBy("cid").orderBy("block")
+    first = F.first("head").over(over)
     bases = blocks.select(
-        "conv_id", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("tokens_before"),
-        F.when(head["role"] == "system", head).alias("system"),
+        F.col("cid").alias("base_cid"), F.col("block").alias("base_block"), F.coalesce(F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
+        F.when(first["role"] == "system", first).alias("system"), F.lag("tail").over(over).alias("tail"),
     )
-    return local, bases
+    return local.join(bases, F.expr("cid = base_cid and block = base_block")).drop("base_cid", "base_block")
 
 
 def windows(
     conversations: DataFrame, budget: int = WINDOW_TOKENS, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS,
     id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
 ) -> DataFrame:
-    """Formatted windows: ``conv_id, window, first_turn, n_turns, n_repeated, n_tokens, formatted, loss``.
+    """Formatted windows: ``conv_id, first_turn, n_turns, n_repeated, n_tokens, formatted, loss``.
 
     A window starts with ``n_repeated`` turns seen before (the system turn, then at most
     ``history_turns`` turns of at most ``history_tokens`` together) and goes on with ``n_turns`` new ones,
     the first of which is the conversation's ``first_turn``-th. ``loss`` lists start and length, in code
     points of ``formatted``, of the new assistant texts. Windows keep to ``budget`` tokens; a turn that
-    can't is a window of its own, whole.
+    can't is a window of its own, whole. Windows don't cross blocks of 256 turn numbers.
 
     Null texts and roles count as empty, turns are ordered by number, role and text, null numbers first,
     so repeated rows follow each other. Null conversation ids form one conversation. No rows give no
@@ -79,45 +89,47 @@ def windows(
     require(conversations, id_col, turn_col, role_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.coalesce(F.col(role_col), F.lit(""))
-    turns = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    conv = F.col(id_col).cast("long")
+    turns = conversations.select(conv.alias("conv_id"), F.coalesce(conv.cast("string"), F.lit("")).alias("cid"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     turns = turns.withColumn("tokens", F.expr(f"cast((octet_length(text) + {TOKEN_CHARS - 1}) div {TOKEN_CHARS} + {TURN_TOKENS} as long)"))
-    local, bases = _numbered(turns)
-    keys = bases.withColumnsRenamed({"conv_id": "base_conv", "block": "base_block"})
-    placed = local.join(keys, F.expr("conv_id <=> base_conv and block = base_block")).select(
-        "conv_id", "role", "text", "tokens", (F.col("rows_before") + F.col("n")).alias("turn"), (F.col("tokens_before") + F.col("s")).alias("before"), "system"
-    )
+    placed = _placed(turns, history_turns)
     room = F.greatest(F.lit(2), F.lit(budget - history_tokens) - F.coalesce(F.col("system.tokens"), F.lit(0)))
     # new turns begin in the same half of the room; one longer than half of it ends its cell and stands alone
     half = F.floor(room / 2)
-    is_system = (F.col("turn") == 0) & F.col("system").isNotNull()
-    placed = placed.withColumn("window", F.floor(F.col("before") / half) * 2 + (F.col("tokens") > half).cast("long")).withColumn("is_system", is_system)
-    starts = placed.groupBy(F.col("conv_id").alias("start_conv"), F.col("window").alias("start_window")).agg(F.min("turn").alias("first_turn"))
-    past = placed.where(~F.col("is_system")).select("conv_id", "role", "text", "tokens", "turn", F.explode(F.array(*map(F.lit, range(1, history_turns + 1))).cast("array<int>")).alias("ago"))
-    near = past.join(starts, F.expr("conv_id <=> start_conv and turn + ago = first_turn")).withColumn("window", F.col("start_window"))
-    upto = F.sum("tokens").over(Window.partitionBy("conv_id", "window").orderBy("ago"))
-    history = near.withColumn("upto", upto).where(F.col("upto") <= history_tokens)
-    part = lambda rank, repeated, r, t, k: F.struct(F.lit(rank).alias("rank"), k.alias("turn"), F.lit(repeated).alias("repeated"), r.alias("role"), t.alias("text"))
-    fresh = placed.select("conv_id", "window", part(2, False, F.col("role"), F.col("text"), F.col("turn")).alias("part"), "tokens", "system")
-    old = history.select("conv_id", "window", part(1, True, F.col("role"), F.col("text"), F.col("turn")).alias("part"), "tokens", F.lit(None).cast(placed.schema["system"].dataType).alias("system"))
+    placed = placed.withColumn("cell", F.floor(F.col("before") / half) * 2 + (F.col("tokens") > half).cast("long"))
+    order = Window.partitionBy("cid", "block").orderBy("n")
+    past = F.array(*[F.lag(_turn("n", "role", "text", "tokens"), k).over(order) for k in range(1, history_turns + 1)]) if history_turns else F.array().cast(placed.schema["tail"].dataType)
+    starts = ~F.lag("cell").over(order).eqNullSafe(F.col("cell"))
+    marked = placed.withColumn("past", F.when(starts, F.when(F.col("n") == 0, F.col("tail")).otherwise(F.filter(past, lambda h: h.isNotNull()))))
     # a window holds at most its budget, or one long turn with its repeats
-    gathered = fresh.unionByName(old).groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list("part")).alias("parts"), F.sum("tokens").alias("tokens"), F.max("system").alias("system"), F.min(F.when(~F.col("part.repeated"), F.col("part.turn"))).alias("first_turn")
-    )
-    system = F.array(part(0, True, F.col("system.role"), F.col("system.text"), F.lit(0).cast("long")))
+    whole = marked.groupBy("cid", "block", "cell").agg(
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(_turn("n", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens"), F.first("system").alias("system"),
+        F.first("rows_before").alias("rows_before"), F.coalesce(F.first("past", ignorenulls=True), F.array().cast(placed.schema["tail"].dataType)).alias("past"),
+    )
+    whole = whole.withColumn("first_turn", F.col("rows_before") + F.get("turns", F.lit(0))["n"])
+    # the system turn is the first block's turn 0; history nearest first, until its tokens are used up
+    opening = F.col("system").isNotNull() & (F.when(F.get("turns", F.lit(0))["n"] == 0, F.lit(False)).otherwise(F.col("rows_before") == 0))
+    past = F.filter("past", lambda h: ~(opening & (h["n"] == 0)))
+    after_first = F.col("system").isNotNull() & (F.col("rows_before") > 0) & (F.get("turns", F.lit(0))["n"] == 0) & (F.col("rows_before") == F.size("past"))
+    past = F.filter(past, lambda h: ~(after_first & (h["n"] == 0)))
+    whole = whole.withColumn("past", past)
+    spent = lambda i: F.aggregate(F.slice("past", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, h: a + h["tokens"])
+    whole = whole.withColumn("past", F.reverse(F.filter("past", lambda h, i: spent(i) <= history_tokens)))
     has_system = F.col("system").isNotNull() & (F.col("first_turn") > 0)
-    whole = gathered.withColumn("parts", F.when(has_system, F.concat(system, F.col("parts"))).otherwise(F.col("parts")))
-    begin = lambda p: F.concat(F.lit(_OPEN), escape(p["role"]), F.lit(_CLOSE))
-    pieces = F.transform("parts", lambda p: F.struct(begin(p).alias("begin"), escape(p["text"]).alias("body"), (~p["repeated"] & (p["role"] == "assistant")).alias("loss")))
-    made = whole.withColumn("pieces", pieces)
+    part = lambda t, repeated: F.struct(
+        F.concat(F.lit(_OPEN), escape(t["role"]), F.lit(_CLOSE)).alias("begin"), escape(t["text"]).alias("body"), F.lit(repeated).alias("repeated"), ((t["role"] == "assistant") & F.lit(not repeated)).alias("loss")
+    )
+    old = F.concat(F.when(has_system, F.array(F.struct("system.role", "system.text"))).otherwise(F.array().cast("array<struct<role:string,text:string>>")), F.transform("past", lambda h: F.struct(h["role"].alias("role"), h["text"].alias("text"))))
+    made = whole.withColumn("pieces", F.concat(F.transform(old, lambda t: part(t, True)), F.transform("turns", lambda t: part(t, False))))
     full = lambda p: F.length(p["begin"]) + F.length(p["body"]) + len(_END)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     step = lambda a, p: F.struct(
         (a["at"] + full(p)).alias("at"),
         F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["begin"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
     )
+    old_tokens = F.aggregate("past", F.lit(0).cast("long"), lambda a, h: a + h["tokens"]) + F.when(has_system, F.col("system.tokens")).otherwise(0)
     return made.select(
-        F.col("conv_id").alias(id_col), "window", "first_turn", F.expr("cast(size(filter(parts, p -> not p.repeated)) as long)").alias("n_turns"),
-        F.expr("cast(size(filter(parts, p -> p.repeated)) as long)").alias("n_repeated"), (F.col("tokens") + F.when(has_system, F.col("system.tokens")).otherwise(0)).alias("n_tokens"),
+        F.col("conv_id").alias(id_col), "first_turn", F.size("turns").cast("long").alias("n_turns"), (F.size("pieces") - F.size("turns")).cast("long").alias("n_repeated"), (F.col("tokens") + old_tokens).alias("n_tokens"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["begin"], p["body"], F.lit(_END))), "").alias("formatted"),
         F.aggregate("pieces", start, step, lambda a: a["spans"]).alias("loss"),
     )
