@@ -48,8 +48,8 @@ def head(lines: DataFrame, n: int = 10) -> DataFrame:
 
 def tail(lines: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` lines of every document."""
-    count = lines.groupBy("doc_id").agg((F.max("line_idx") - n).alias("_after"))
-    return lines.join(count, "doc_id").where("line_idx > _after").drop("_after")
+    last = F.max("line_idx").over(Window.partitionBy("doc_id"))
+    return lines.withColumn("_last", last).where(F.col("line_idx") > F.col("_last") - n).drop("_last")
 
 
 def uniq(lines: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def viewport(lines: DataFrame, offset: int, height: int) -> DataFrame:
     """The ``height - 1`` rows of every document from line ``offset`` on, blank past the end: ``doc_id, row, line``."""
     count = max(height - 1, 0)
-    part = lines.where((F.col("line_idx") >= offset) & (F.col("line_idx") < offset + count)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_idx", "line"))).alias("shown"))
-    known = lines.select("doc_id").distinct().join(part, "doc_id", "left")
-    rows = F.explode(F.sequence(F.lit(0), F.lit(count - 1))) if count else F.explode(F.array().cast("array<int>"))
-    return known.select("doc_id", rows.alias("row"), "shown").select("doc_id", "row", F.coalesce(F.expr(f"element_at(shown, row + {offset})"), F.lit("")).alias("line"))
+    seen = F.when((F.col("line_idx") >= offset) & (F.col("line_idx") < offset + count), F.struct("line_idx", "line"))
+    shown = lines.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(seen)).alias("shown"))
+    rows = F.explode(F.array(*map(F.lit, range(count))).cast("array<int>"))
+    return shown.select("doc_id", rows.alias("row"), "shown").select("doc_id", "row", F.coalesce(F.try_element_at("shown", F.col("row") + offset), F.lit("")).alias("line"))
 
 
 def viewport_rows(lines: Column, offset: Column, height: Column) -> Column:
