@@ -45,7 +45,7 @@ def toggle(have: list[tuple[int, int]], start: int, end: int) -> list[tuple[int,
 
 
 def _toggled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
     have = list(zip(*state.get, strict=True)) if state.exists else []
     for r in rows.itertuples():
         have = toggle(have, int(r.start), int(r.end))
@@ -56,8 +56,23 @@ def _toggled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def toggled(events: DataFrame) -> DataFrame:
     """Highlights of each document after the toggles seen so far: ``doc, n_highlights, starts, ends``.
 
-    ``events`` is a stream of ``doc string, seq long, start long, end long``; update mode.
+    ``events`` is a stream of ``doc string, ts timestamp, seq long, start long, end long``; update mode.
     """
     return events.groupBy("doc").applyInPandasWithState(
         _toggled, "doc string, n_highlights long, starts array<long>, ends array<long>", "starts array<long>, ends array<long>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream over all data that is there now and read what it put out last.
+
+    Each trigger's output is a folder of its own under ``folder``, so a repeated trigger overwrites
+    itself; in complete mode the last one counts, otherwise all do.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/trigger={number if mode != 'complete' else 0}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/log").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -125,7 +125,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {r.doc: r.offset for r in spark.table("latest").collect()} == {"a": 1, "b": 5}
     drain(stream.changes(read().select("doc", "ts", "seq", "offset", "viewport_offset")), "append", "moves")
     assert sorted((r.doc, r.seq) for r in spark.table("moves").collect()) == [("a", 0), ("a", 2), ("a", 4), ("b", 1)]
-    drain(stream.toggled(read().select("doc", "seq", "start", "end")), "update", "toggles")
+    drain(stream.toggled(read().select("doc", "ts", "seq", "start", "end")), "update", "toggles")
     want = {}
     for r in spans.toggled(batch.select("doc", "seq", "start", "end")).collect():
         want.setdefault(r.doc, []).append((r.start, r.end))
