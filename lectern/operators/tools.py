@@ -87,22 +87,38 @@ def wc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), feeds.cast("long").alias("lines"), count.cast("long").alias("words"), F.octet_length(text).cast("long").alias("bytes"))
 
 
+#: The PowerShell pieces that flags stand for, by command.
+_PIECES = {
+    "ls": {"": " | Select-Object -ExpandProperty Name", "l": " | Format-Table Mode, LastWriteTime, Length, Name", "a": " -Force"},
+    "cat": {"n": " | Select-Object @{Name='LineNumber';Expression={$_.ReadCount}}, @{Name='Line';Expression={$_}}"},
+    "grep": {"i": " -CaseSensitive:$false", "v": " -NotMatch", "n": " | Format-Table LineNumber, Line"},
+    "head": {"": " -First "},
+    "tail": {"": " -Tail "},
+}
+
+
 def translated(command: str) -> str:
-    """The PowerShell counterpart of a simple Unix command; unknown ones are left alone."""
-    parts = command.split()
-    name, flags, rest = parts[0] if parts else "", [p for p in parts[1:] if p.startswith("-")], [p for p in parts[1:] if not p.startswith("-")]
-    letters = "".join(flags)
+    """The PowerShell counterpart of a simple Unix command; others are left alone.
+
+    For ``head`` and ``tail`` a number right after ``-n`` is the count, not a file.
+    """
+    name, *rest = command.split() or [""]
+    pieces = _PIECES.get(name, {})
+    flags, words = "".join(x[1:] for x in rest if x[0] == "-"), [x for x in rest if x[0] != "-"]
     if name == "pwd":
         return "Get-Location"
     if name == "ls":
-        listing = " ".join(["Get-ChildItem", *(["-Force"] if "a" in letters else []), *rest])
-        return listing + (" | Format-Table Mode, LastWriteTime, Length, Name" if "l" in letters else " | Select-Object -ExpandProperty Name")
-    if name == "cat" and rest:
-        return f"Get-Content {rest[0]}"
-    if name == "grep" and len(rest) >= 2:
-        extra = " -CaseSensitive:$false" if "i" in letters else " -CaseSensitive"
-        return f"Select-String -Pattern '{rest[0]}' -Path '{rest[1]}'{extra}" + (" -NotMatch" if "v" in letters else "")
-    if name in ("head", "tail") and rest:
-        digits = "".join(c for c in letters if c.isdigit()) or "10"
-        return f"Get-Content {rest[0]} -{'Head' if name == 'head' else 'Tail'} {digits}"
+        path = f" -Path {', '.join(words)}" if words else ""
+        return "Get-ChildItem" + path + (pieces["a"] if "a" in flags else "") + pieces["l" if "l" in flags else ""]
+    if name == "cat":
+        return " ".join(["Get-Content", *words]) + (pieces["n"] if "n" in flags else "")
+    if name == "grep":
+        if len(words) < 2:
+            return "Select-String"
+        return f'Select-String -Pattern "{words[0]}" -Path "{words[1]}"' + "".join(pieces[f] for f in "ivn" if f in flags)
+    if name in ("head", "tail"):
+        count = flags[1:] if flags[1:].isdigit() else "10"
+        if flags == "n" and words and words[0].isdigit():
+            count, words = words[0], words[1:]
+        return " ".join(["Get-Content", *words[:1]]) + pieces[""] + count
     return command

@@ -84,7 +84,7 @@ class Settings:
     tutorial_shown: bool | None = None
 
 
-DEFAULTS = Settings(True, True, True, False, False)
+DEFAULTS = Settings(True, True, True, True, False)
 
 
 def read_settings(path: str) -> Settings:

@@ -218,9 +218,25 @@ def test_command_guard(spark, command, ok):
     assert one(spark, tools.command_allowed(F.col("c")), c=command) is ok
 
 
-def test_translation():
-    assert tools.translated("ls") == "Get-ChildItem | Select-Object -ExpandProperty Name"
-    assert "-CaseSensitive:$false" in tools.translated("grep -i pattern file.txt")
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("ls", "Get-ChildItem | Select-Object -ExpandProperty Name"),
+        ("ls -la", "Get-ChildItem -Force | Format-Table Mode, LastWriteTime, Length, Name"),
+        ("ls -l /tmp", "Get-ChildItem -Path /tmp | Format-Table Mode, LastWriteTime, Length, Name"),
+        ("cat file.txt", "Get-Content file.txt"),
+        ("grep -i pattern file.txt", 'Select-String -Pattern "pattern" -Path "file.txt" -CaseSensitive:$false'),
+        ("grep -n pattern file.txt", 'Select-String -Pattern "pattern" -Path "file.txt" | Format-Table LineNumber, Line'),
+        ("head -n5 a", "Get-Content a -First 5"),
+        ("head -n 5 a", "Get-Content a -First 5"),
+        ("tail a", "Get-Content a -Tail 10"),
+        ("pwd", "Get-Location"),
+        ("make x", "make x"),
+        ("", ""),
+    ],
+)
+def test_translation(command, want):
+    assert tools.translated(command) == want
 
 
 def test_uniq_counts_adjacent_lines(spark):

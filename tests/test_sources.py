@@ -105,8 +105,8 @@ def test_bookmarks_and_highlights_round_trip(spark, tmp_path):
 def test_settings(tmp_path):
     path = str(tmp_path / ".env")
     assert logs.read_settings(path) == logs.DEFAULTS
-    logs.write_settings(path, logs.Settings(show_progress=True))
-    assert logs.read_settings(path).show_progress is True and logs.read_settings(path).show_cursor is True
+    logs.write_settings(path, logs.Settings(show_progress=False))
+    assert logs.read_settings(path).show_progress is False and logs.read_settings(path).show_cursor is True
     (tmp_path / ".env").write_text("SHOW_CURSOR=yes\n")
     assert logs.read_settings(path).show_cursor is False and logs.read_settings(path).show_progress is None
 
