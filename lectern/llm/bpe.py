@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import require, spread
+from lectern.llm.common import release, require, spread
 from lectern.llm.store import ChunkStore, gathered, no_collector, runs
 
 
@@ -153,7 +153,7 @@ class ByteBPE:
         self.known.update(zip((x for x, _ in rest), self.merge_all([b for _, b in rest]), strict=True))
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 300_000:
+        if len(self.known) > 250_000:
             self.known, self.before = {}, self.known
         known, before, find = self.known, self.before, self.pattern.findall
         split = [find(c) for c in chunks]
@@ -228,5 +228,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
                     [pa.array([next(docs) for _ in ids], pa.int64()), pa.array([x.astype("<u4", copy=False).tobytes() for x in ids], pa.binary()), pa.array([coder.decode(x) for x in ids], pa.binary())],
                     names=["doc_id", "ids", "decoded"],
                 )
+                del part, ids
+            del batch
+            release()
 
     return _slim(docs, id_col, text_col).mapInArrow(run, IDS)

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-
-    A private one is set only where the session names none (tests, a laptop).
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a slim table in the shared folder and cut its lineage; never used for whole texts."""
     shared_folder(df.sparkSession)
@@ -50,6 +43,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """Give memory that a batch's arrays left behind back to the system.
+
+    Workers stay for many tasks and share their executor's memory; without this the allocators keep
+    each one's high-water mark.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def where_text(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts ``keep`` says to keep, batch by batch.
+
+    Runs as the same kind of Python function as the other operators, so that they share workers.
+    """
+    require(docs, text_col)
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place).to_pylist()), pa.bool_()))
+            release()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import require
+from lectern.llm.common import release, require, where_text
 
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -161,20 +161,20 @@ def identify(text: Column, model: Model) -> Column:
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def run(texts: pd.Series) -> pd.DataFrame:
         langs, scores = predict(model, [x if isinstance(x, str) else None for x in texts])
+        release()
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return run(text)
 
 
-def accepts(text: Column, model: Model, least_score: float) -> Column:
-    """Whether a text is in one of the model's languages with at least ``least_score``."""
+def accepted(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose texts are in one of the model's languages with at least ``least_score``."""
 
-    @F.pandas_udf(T.BooleanType())
-    def run(texts: pd.Series) -> pd.Series:
-        langs, scores = predict(model, [x if isinstance(x, str) else None for x in texts])
-        return pd.Series([lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores.tolist(), strict=True)], dtype=bool)
+    def keep(texts: list[str | None]) -> list[bool]:
+        langs, scores = predict(model, texts)
+        return [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores.tolist(), strict=True)]
 
-    return run(text)
+    return where_text(docs, keep, text_col)
 
 
 def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, lookup, require, spread
+from lectern.llm.common import cut, lookup, release, require, spread
 from lectern.llm.store import ChunkStore, expand, gathered, no_collector, per_text, runs
 
 SEQUENCE_TOKENS, CLASS_TOKENS, END_ID = 4096, 16, 2
@@ -55,9 +55,14 @@ class WordEncoder:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
-        self.store = ChunkStore(self._encode)
+        self.store = ChunkStore(self._encode_all)
         self.point_ids = np.array([self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in _POINTS], np.uint32)
 
+    def _encode_all(self, roots: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and their numbers; some thousands at a time, as the tokenizer's results are large."""
+        found = [self._encode(roots[at : at + 5000]) for at in range(0, len(roots), 5000)]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
+
     def _encode(self, roots: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.fromiter((x.isalpha() for x in roots), bool, len(roots))
         text = " ".join([x for x in roots if x.isalpha()])
@@ -95,8 +100,7 @@ class WordEncoder:
         for part in runs(texts):
             split = pc.ascii_split_whitespace(part)
             chunks = split.flatten().dictionary_encode()
-            flat, counts = expand(*self._chunk_ids(chunks.dictionary), chunks.indices.to_numpy(zero_copy_only=False))
-            yield from per_text(split, flat, counts)
+            yield from per_text(split, chunks.indices, *self._chunk_ids(chunks.dictionary))
 
 
 def _byte_level(text: str) -> str:
@@ -131,6 +135,8 @@ def _cut_documents(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatc
                     rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=PIECES.names)
+            del batch, coded, rows
+            release()
 
     return run
 

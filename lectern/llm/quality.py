@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import require, small_batches
+from lectern.llm.common import release, require, small_batches, where_text
 
 THRESHOLD = 0.7
 _LOWER, _UPPER, _DIGIT, _BLANK, _POINT, _SYMBOL = range(6)
@@ -284,11 +284,18 @@ def assess(text: Column, model: Model) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([score(model, x if isinstance(x, str) else None) for x in texts], dtype=float)
+        found = [score(model, x if isinstance(x, str) else None) for x in texts]
+        release()
+        return pd.Series(found, dtype=float)
 
     return run(text)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose texts score at least ``threshold``."""
+    return where_text(docs, lambda texts: [score(model, x) >= threshold for x in texts], text_col)
+
+
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, predicted`` for every row; ``predicted`` is 1 from ``threshold`` on.
 

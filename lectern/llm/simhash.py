@@ -19,14 +19,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, require, small_batches
+from lectern.llm.common import cut, release, require, small_batches
 from lectern.llm.components import Forest, connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -80,14 +79,18 @@ def fingerprint(text: str | None) -> int:
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x if isinstance(x, str) else None) for x in texts], np.uint64).view(np.int64))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp`` of every row, the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            release()
 
-def simhash(text: Column) -> Column:
-    """The fingerprint of a text column as a signed long."""
-    return _fingerprints(text)
+    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def _keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,10 +197,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Other columns are not looked at.
     """
     require(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
-    hashed = cut(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp")))
+    hashed = cut(fingerprints(docs, id_col, text_col))
     classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(link_fingerprints(classes)).withColumnRenamed("node", "fp")
+    # materialised first, so that no task runs two Python functions at once
+    groups = connected_components(cut(link_fingerprints(classes))).withColumnRenamed("node", "fp")
     labelled = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "component").select("fp", "component_id")

@@ -40,12 +40,15 @@ class _Generation:
         return self.flat[np.repeat(self.starts[codes] - (ends - counts), counts) + np.arange(total)], counts
 
 
-def expand(flat: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expand(flat: np.ndarray, counts: np.ndarray, wanted: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of some entries in order, and how many each has, from all entries' ids end to end."""
-    starts, sizes = np.cumsum(counts) - counts, counts[wanted]
+    starts = np.cumsum(counts) - counts if starts is None else starts
+    sizes = counts[wanted]
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[wanted] - (ends - sizes), sizes) + np.arange(total)], sizes
+    place = np.repeat(starts[wanted] - (ends - sizes), sizes)
+    place += np.arange(total)
+    return flat[place], sizes
 
 
 class ChunkStore:
@@ -56,7 +59,7 @@ class ChunkStore:
     keeps what is in use, and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 300_000, keep_ids: int = 4_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 250_000, keep_ids: int = 4_000_000) -> None:
         self.encode, self.keep, self.keep_ids = encode, keep, keep_ids
         self.young, self.old = _Generation(), _Generation()
 
@@ -77,19 +80,25 @@ class ChunkStore:
             self.young.append(*self.old.gather(np.fromiter(map(old.__getitem__, again), np.int64, len(again))))
         return self.young.gather(np.fromiter(map(young.__getitem__, chunks), np.int64, len(chunks)))
 
-    def texts(self, texts: pa.ListArray) -> list[np.ndarray]:
+    def texts(self, texts: pa.ListArray) -> Iterator[np.ndarray]:
         """The ids of each text, a list of chunks, as its chunks' ids in order."""
         chunks = texts.flatten().dictionary_encode()
-        flat, counts = expand(*self.ids(chunks.dictionary.to_pylist()), chunks.indices.to_numpy(zero_copy_only=False))
-        return per_text(texts, flat, counts)
+        yield from per_text(texts, chunks.indices, *self.ids(chunks.dictionary.to_pylist()))
 
 
-def per_text(texts: pa.ListArray, flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Cut the ids of all chunks of some texts into the texts' ids."""
-    if not len(texts):
-        return []
-    ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))
-    return np.split(flat, np.r_[0, np.cumsum(counts)][ends][:-1])
+def per_text(texts: pa.ListArray, indices: pa.Array, flat: np.ndarray, counts: np.ndarray, block: int = 150_000) -> Iterator[np.ndarray]:
+    """Each text's ids, from its chunks' numbers and all distinct chunks' ids end to end.
+
+    About ``block`` chunks are expanded at a time, which bounds the arrays in between.
+    """
+    ends = np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    numbers, starts = indices.to_numpy(zero_copy_only=False), np.cumsum(counts) - counts
+    row = at = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(ends, at + block, "right")))
+        ids, sizes = expand(flat, counts, numbers[at : ends[last - 1]], starts)
+        yield from np.split(ids, np.r_[0, np.cumsum(sizes)][ends[row:last] - at][:-1])
+        row, at = last, int(ends[last - 1])
 
 
 @contextmanager
