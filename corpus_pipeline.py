@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         model = langid.train(docs)
     except ValueError:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return docs.where(langid.accepts(F.col("text"), model, LANGUAGE_SCORE))
+    return langid.accepted(docs, model, LANGUAGE_SCORE)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         model = quality.train(docs, table(spark, sf_dir, "labels"))
     except ValueError:
         return docs
-    return docs.where(quality.assess(F.col("text"), model) >= quality.THRESHOLD)
+    return quality.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
