@@ -171,7 +171,7 @@ def _best_pattern(prices: np.ndarray, weights: np.ndarray, capacity: int) -> tup
     return float(best[capacity]), counts
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = 4000) -> list[Pattern]:
+def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = 4000, gap: float = 5e-4) -> list[Pattern]:
     """Patterns over length classes ``1..capacity`` that cut exactly ``demand`` pieces of each class.
 
     Column generation with a dense basis inverse: one row per class, so at most ``capacity`` rows.
@@ -183,11 +183,13 @@ def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = 400
     m = len(classes)
     basis = np.diag((capacity // weights).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    amount = inverse @ need
+    amount, filled = inverse @ need, float(weights @ need) / capacity
     for step in range(max_columns):
         prices = inverse.sum(axis=0)
         worth, counts = _best_pattern(np.maximum(prices, 0), weights, capacity)
-        if worth <= 1 + 1e-7:
+        # no solution is below total / worth or what the pieces fill: stop where half a sequence or less, or a small share, is left to gain
+        total = amount.sum()
+        if worth <= 1 + 1e-7 or total - max(total / worth, filled) < max(0.5, gap * total):
             break
         column = np.zeros(m)
         for i, n in counts.items():
