@@ -82,7 +82,7 @@ class ByteBPE:
                 self.pairs[token[0] << 8 | token[1]] = rank
         self.known: dict[str, list[int]] = {}
         self.before: dict[str, list[int]] = {}
-        self.store = ChunkStore(self._chunks)
+        self.store = ChunkStore(self._chunks, keep=400_000, keep_ids=6_000_000)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -153,7 +153,7 @@ class ByteBPE:
         self.known.update(zip((x for x, _ in rest), self.merge_all([b for _, b in rest]), strict=True))
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 250_000:
+        if len(self.known) > 400_000:
             self.known, self.before = {}, self.known
         known, before, find = self.known, self.before, self.pattern.findall
         split = [find(c) for c in chunks]
