@@ -51,16 +51,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component, once if it is repeated.
+    """Keep one document of each near-duplicate component: the one with the smallest id, once if it is repeated.
 
-    Documents without an id are kept only where their component has no id at all, one of them.
+    Rows are told apart by id and text. Documents without an id come last, so one of them is kept only
+    where its component has no id at all; of several texts under one id the least by hash comes first.
     """
-    groups = simhash.near_duplicates(docs)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
-    keep = groups.where("doc_id <=> component_id").select(key).distinct()
-    kept = docs.select(key, F.struct("*").alias("row")).join(keep, "key", "left_semi")
-    once = Window.partitionBy("key").orderBy("row.text")
-    return kept.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
+    keep = simhash.representatives(docs)
+    keyed = docs.select(*simhash.row_key(), F.struct("*").alias("row")).join(keep, ["key_a", "key_b"], "left_semi")
+    # what is left under a key has one id and text
+    once = Window.partitionBy("key_a", "key_b").orderBy(*[F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")])
+    return keyed.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,18 +79,19 @@ def fingerprint(text: str | None) -> int:
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[Column, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` of every row, the fingerprint as a signed long, then the ``carried`` columns."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    kept = [f.name for f in slim.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *kept])
             release()
 
-    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType()), *slim.schema.fields[2:]]))
 
 
 def _keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +188,14 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
 
 
+def _labelled(hashed: DataFrame, least: Column) -> DataFrame:
+    """``fp, least, component`` of every distinct fingerprint, ``least`` being the minimum over its rows."""
+    classes = cut(hashed.groupBy("fp").agg(F.min(least).alias("least")))
+    # materialised first, so that no task runs two Python functions at once
+    groups = connected_components(cut(link_fingerprints(classes))).withColumnRenamed("node", "fp")
+    return classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -198,10 +207,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     require(docs, id_col, text_col)
     hashed = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # materialised first, so that no task runs two Python functions at once
-    groups = connected_components(cut(link_fingerprints(classes))).withColumnRenamed("node", "fp")
-    labelled = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = _labelled(hashed, F.col("doc_id"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "component").select("fp", "component_id")
     return hashed.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """``key_a, key_b``: 128 bits of hash that tell rows apart by id and text, also where the id is null."""
+    parts = (F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    return F.xxhash64(F.lit(0), *parts).alias("key_a"), F.xxhash64(F.lit(1), *parts).alias("key_b")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The :func:`row_key` of one row of each component: the least id's, null ids last, then the least key's.
+
+    Components are those of :func:`near_duplicates`, told apart by their fingerprints and not by an id, so
+    neither null ids nor an id on several texts make two components one.
+    """
+    require(docs, id_col, text_col)
+    hashed = cut(fingerprints(docs, id_col, text_col, row_key(id_col, text_col)))
+    labelled = _labelled(hashed, F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key_a", "key_b"))
+    return labelled.groupBy("component").agg(F.min("least").alias("least")).select("least.key_a", "least.key_b")

@@ -334,6 +334,16 @@ def test_stages(spark, odd, none, stage):
         assert sorted(x for x in kept if x is not None) == [1, 2, 4, 5, 9, 10] and kept.count(None) == 1
 
 
+def test_near_dedup_keeps_one_of_each_component(spark):
+    """Ids don't identify rows: many are null, and some are on two texts."""
+    rng = random.Random(11)
+    prose = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(9)]
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (None, prose[2]), (1, prose[3]), (None, prose[3]), (2, prose[4]), (2, prose[5]), (3, prose[6]), (4, prose[6].upper()), (4, prose[7]), (5, None), (None, ""), (6, prose[8]), (6, prose[8])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()))
+    assert kept == sorted([(0, prose[0]), (0, prose[1]), (0, prose[2]), (1, prose[3]), (2, prose[4]), (2, prose[5]), (3, prose[6]), (4, prose[7]), (5, ""), (6, prose[8])])
+
+
 def test_pipeline_by_hand(spark, language_model):
     """The whole run equals its stages in memory, decision by decision."""
     out = corpus_pipeline.run(spark, DIR).toPandas()
