@@ -2,7 +2,8 @@
 
 Two texts are compared by the blended-spectrum presence kernel: the number of n-grams of one to four
 letters that both contain, over the geometric mean of what each contains. n-grams are hashed to
-``BUCKETS`` places, so a text is a fixed-size bitmap however long it is. Nyström landmarks turn the kernel
+``BUCKETS`` places. A long text would set them all, whatever its language, so texts are compared in segments
+of at most ``SEGMENT`` characters, each a bitmap, and a text's margins are its segments' mean. Nyström landmarks turn the kernel
 into a feature map, and one-versus-rest kernel ridge regression fits a weight vector per language.
 Scoring multiplies a batch of bitmaps with the landmarks' bitmaps and then with the weights.
 """
@@ -24,6 +25,10 @@ from lectern.llm.common import release, require, where_text
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
 UNKNOWN = "und"
 _BLOCK = 1 << 18
+#: Most characters of a segment, whose n-grams, four a character, can set half the places at most.
+SEGMENT = 2048
+#: Segments of a training text, evenly spread over it.
+TRAINING_SEGMENTS = 4
 
 
 def _letters() -> np.ndarray:
@@ -69,6 +74,14 @@ def mark(text: str | None, flags: np.ndarray) -> bool:
     return found
 
 
+def segments(text: str | None) -> list[str]:
+    """A text cut into equal parts of at most ``SEGMENT`` characters; n-grams over a border are in the later one."""
+    text = text or ""
+    parts = max(1, -(-len(text) // SEGMENT))
+    ends = [len(text) * k // parts for k in range(parts + 1)]
+    return [text[max(0, a - 3) : b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Model(NamedTuple):
     """Landmark bitmaps (packed), the weights behind them and the languages in order."""
 
@@ -105,30 +118,47 @@ def fit(bitmaps: np.ndarray, languages: list[str], landmarks_per_language: int =
 
 
 def predict(model: Model, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray]:
-    """Languages and scores (0 to 1) of some texts; ``und`` with score 0 where there is no letter."""
+    """Languages and scores (0 to 1) of some texts; ``und`` with score 0 where there is no letter.
+
+    All segments of a text count, each by the n-grams it holds.
+    """
     landmarks = np.ascontiguousarray(np.unpackbits(model.landmarks, axis=1).T.astype(np.float32))
-    out, scores = [], np.zeros(len(texts))
-    space = np.empty((batch, BUCKETS), np.float32)
-    for at in range(0, len(texts), batch):
-        part = texts[at : at + batch]
-        x = space[: len(part)]
+    margins, weight = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    space, owners = np.zeros((batch, BUCKETS), np.float32), []
+
+    def score() -> None:
+        x = space[: len(owners)]
+        sizes = x.sum(axis=1)
+        found = _kernel(x, sizes, landmarks, model.sizes) @ model.weights[:-1] + model.weights[-1]
+        np.add.at(margins, owners, found * sizes[:, None])
+        np.add.at(weight, owners, sizes)
         x.fill(0)
-        known = [mark(t, x[i]) for i, t in enumerate(part)]
-        margins = _kernel(x, x.sum(axis=1), landmarks, model.sizes) @ model.weights[:-1] + model.weights[-1]
-        best = margins.argmax(axis=1)
-        scores[at : at + len(part)] = np.where(known, np.clip(margins[np.arange(len(part)), best], 0, 1), 0)
-        out += [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)]
-    return out, scores
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for part in segments(text):
+            if mark(part, space[len(owners)]):
+                owners.append(i)
+            if len(owners) == batch:
+                score()
+    score()
+    margins /= np.maximum(weight, 1)[:, None]
+    best = margins.argmax(axis=1)
+    scores = np.where(weight > 0, np.clip(margins[np.arange(len(texts)), best], 0, 1), 0)
+    return [model.languages[b] if w else UNKNOWN for b, w in zip(best.tolist(), weight.tolist(), strict=True)], scores
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, maps = [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            flags = np.zeros(BUCKETS, np.uint8)
-            if mark(text, flags):
-                names.append(name)
-                maps.append(np.packbits(flags).tobytes())
+            parts = segments(text)
+            few = min(len(parts), TRAINING_SEGMENTS)
+            for k in range(few):
+                flags = np.zeros(BUCKETS, np.uint8)
+                if mark(parts[(2 * k + 1) * len(parts) // (2 * few)], flags):
+                    names.append(name)
+                    maps.append(np.packbits(flags).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(maps, pa.binary())], names=["lang", "bits"])
 
 
@@ -136,7 +166,8 @@ def train(labelled: DataFrame, sample_per_language: int = 400, max_languages: in
     """Fit on a bounded sample of labelled rows.
 
     About ``sample_per_language`` texts of each of the ``max_languages`` commonest languages are taken
-    by hash of the text, evenly over the table; only their fixed-size bitmaps reach the driver. Rows
+    by hash of the text, evenly over the table, and of each at most ``TRAINING_SEGMENTS`` segments evenly over
+    the text; only fixed-size bitmaps reach the driver. Rows
     without a language or without letters are not used. Raises ValueError if nothing is left.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))

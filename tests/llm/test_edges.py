@@ -178,6 +178,33 @@ def test_long_texts_are_marked_whole():
     assert (flags[tail > 0] == 1).sum() >= tail.sum() - 2
 
 
+def _tongues(rng):
+    """Four invented languages of unlike letters, two of them with thousands of signs, as functions from a length to a text."""
+
+    def words(alphabet):
+        share = [rng.random() ** 3 for _ in alphabet]
+        known = ["".join(rng.choices(alphabet, share, k=rng.randint(2, 9))) for _ in range(60_000)]
+        return lambda n: " ".join(rng.choices(known, k=n // 6))
+
+    han, kana = [chr(0x4E00 + k) for k in range(3000)], [chr(0x3042 + k) for k in range(70)]
+    share = [1 / (k + 10) for k in range(3000)]
+    chinese = lambda n: "".join(rng.choices(han, share, k=n))
+    japanese = lambda n: "".join(x if rng.random() < 0.4 else rng.choice(kana) for x in rng.choices(han, share, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {"xa": words(letters), "xb": words(letters), "zh": chinese, "ja": japanese}
+
+
+def test_very_long_texts_keep_their_language(spark):
+    """Texts with enough n-grams to set every place are told apart as short ones are."""
+    tongues = _tongues(random.Random(8))
+    rows = [(name, f(rnd)) for name, f in tongues.items() for rnd in (300, 900, 2500) * 20]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    names, sizes = list(tongues), {"xa": 2_000_000, "xb": 2_000_000, "zh": 400_000, "ja": 400_000}
+    assert langid.predict(model, [tongues[x](600) for x in names])[0] == names
+    found, scores = langid.predict(model, [tongues[x](sizes[x]) for x in names])
+    assert found == names and scores.min() > 0.5
+
+
 def test_sharding(odd, none):
     out = sharding.hilbert_shards(odd, 3, chunk_rows=2).toPandas()
     assert len(out) == 11 and out.groupby("shard").size().tolist() == [4, 4, 3] or sorted(out.groupby("shard").size()) == [3, 4, 4]
