@@ -29,6 +29,8 @@ _BLOCK = 1 << 18
 SEGMENT = 2048
 #: Segments of a training text, evenly spread over it.
 TRAINING_SEGMENTS = 4
+#: Bounds of the fit, shared by all languages: texts, at least eight a language, and landmarks.
+SAMPLE_TEXTS, LANDMARKS, _HELD = 20_000, 2048, 512
 
 
 def _letters() -> np.ndarray:
@@ -91,30 +93,61 @@ class Model(NamedTuple):
     languages: list[str]
 
 
+def _dense(landmarks: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.unpackbits(landmarks, axis=1).T.astype(np.float32))
+
+
+def _held(landmarks: np.ndarray) -> np.ndarray:
+    """Unpacked landmarks for repeated use, or packed ones if they are many."""
+    return _dense(landmarks) if len(landmarks) <= _HELD else landmarks
+
+
 def _kernel(x: np.ndarray, sizes: np.ndarray, landmarks: np.ndarray, landmark_sizes: np.ndarray) -> np.ndarray:
-    return (x @ landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None] / np.sqrt(np.maximum(landmark_sizes, 1))[None, :]
+    if landmarks.dtype == np.uint8:
+        common = np.concatenate([x @ _dense(landmarks[at : at + _HELD]) for at in range(0, len(landmarks), _HELD)], axis=1)
+    else:
+        common = x @ landmarks
+    return common / np.sqrt(np.maximum(sizes, 1))[:, None] / np.sqrt(np.maximum(landmark_sizes, 1))[None, :]
 
 
-def fit(bitmaps: np.ndarray, languages: list[str], landmarks_per_language: int = 16, ridge: float = 1e-3) -> Model:
-    """Fit from packed bitmaps (one row per training text) and their languages."""
+def fit(bitmaps: np.ndarray, languages: list[str], landmarks_per_language: int = 16, ridge: float = 1e-3, chunk: int = 1024) -> Model:
+    """Fit from packed bitmaps (one row per training text) and their languages.
+
+    Every language gets weights. Where there are too many for ``LANDMARKS`` landmarks, each has fewer or,
+    beyond one each, every so many languages have one.
+    """
     names = sorted(set(languages))
-    x = np.unpackbits(bitmaps, axis=1).astype(np.float32)
-    sizes = x.sum(axis=1)
-    labels = np.array(languages, object)
-    chosen = np.concatenate([np.flatnonzero(labels == n)[:landmarks_per_language] for n in names])
-    landmarks, landmark_sizes = np.ascontiguousarray(x[chosen].T), sizes[chosen]
-    among = _kernel(x[chosen], landmark_sizes, landmarks, landmark_sizes).astype(float)
+    number = {n: k for k, n in enumerate(names)}
+    owner = np.array([number[x] for x in languages])
+    order = np.argsort(owner, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(owner[order], np.arange(len(names)))[owner[order]]
+    chosen = order[place < max(1, min(landmarks_per_language, LANDMARKS // len(names)))]
+    if len(chosen) > LANDMARKS:
+        chosen = chosen[np.linspace(0, len(chosen) - 1, LANDMARKS).astype(int)]
+    landmarks, packed = _held(bitmaps[chosen]), bitmaps[chosen]
+    landmark_sizes = np.bitwise_count(packed).sum(axis=1).astype(np.float32)
+
+    def against(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(bitmaps[rows], axis=1).astype(np.float32)
+        return _kernel(x, x.sum(axis=1), landmarks, landmark_sizes).astype(float)
+
+    among = np.concatenate([against(chosen[at : at + chunk]) for at in range(0, len(chosen), chunk)])
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    phi = np.c_[_kernel(x, sizes, landmarks, landmark_sizes) @ whiten, np.ones(len(x))]
-    targets = (labels[:, None] == np.array(names, object)[None, :]).astype(float)
-    balance = (1 / targets.sum(axis=0))[np.argmax(targets, axis=1)]
-    balance *= len(x) / balance.sum()
-    gram = phi.T @ (phi * balance[:, None]) + ridge * len(x) / 100 * np.eye(phi.shape[1])
-    solved = np.linalg.solve(gram, phi.T @ (targets * balance[:, None]))
+    balance = (1 / np.bincount(owner))[owner]
+    balance *= len(owner) / balance.sum()
+    width = whiten.shape[1] + 1
+    gram, aims = ridge * len(owner) / 100 * np.eye(width), np.zeros((width, len(names)))
+    for at in range(0, len(owner), chunk):
+        rows = np.arange(at, min(at + chunk, len(owner)))
+        phi = np.c_[against(rows) @ whiten, np.ones(len(rows))]
+        weighted = phi * balance[rows, None]
+        gram += phi.T @ weighted
+        np.add.at(aims.T, owner[rows], weighted)
+    solved = np.linalg.solve(gram, aims)
     weights = np.r_[whiten @ solved[:-1], solved[-1:]]
-    return Model(np.packbits(x[chosen].astype(np.uint8), axis=1), landmark_sizes, weights.astype(np.float32), names)
+    return Model(packed, landmark_sizes, weights.astype(np.float32), names)
 
 
 def predict(model: Model, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray]:
@@ -122,7 +155,7 @@ def predict(model: Model, texts: list[str | None], batch: int = 256) -> tuple[li
 
     All segments of a text count, each by the n-grams it holds.
     """
-    landmarks = np.ascontiguousarray(np.unpackbits(model.landmarks, axis=1).T.astype(np.float32))
+    landmarks = _held(model.landmarks)
     margins, weight = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     space, owners = np.zeros((batch, BUCKETS), np.float32), []
 
@@ -148,12 +181,12 @@ def predict(model: Model, texts: list[str | None], batch: int = 256) -> tuple[li
     return [model.languages[b] if w else UNKNOWN for b, w in zip(best.tolist(), weight.tolist(), strict=True)], scores
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmaps(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, maps = [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parts = segments(text)
-            few = min(len(parts), TRAINING_SEGMENTS)
+            few = min(len(parts), most)
             for k in range(few):
                 flags = np.zeros(BUCKETS, np.uint8)
                 if mark(parts[(2 * k + 1) * len(parts) // (2 * few)], flags):
@@ -162,22 +195,25 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(maps, pa.binary())], names=["lang", "bits"])
 
 
-def train(labelled: DataFrame, sample_per_language: int = 400, max_languages: int = 200, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample of labelled rows.
+def train(labelled: DataFrame, sample_per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on a bounded sample of labelled rows of every language.
 
-    About ``sample_per_language`` texts of each of the ``max_languages`` commonest languages are taken
-    by hash of the text, evenly over the table, and of each at most ``TRAINING_SEGMENTS`` segments evenly over
-    the text; only fixed-size bitmaps reach the driver. Rows
-    without a language or without letters are not used. Raises ValueError if nothing is left.
+    About ``sample_per_language`` texts of each language are taken by hash of the text, evenly over the
+    table, or fewer, about ``SAMPLE_TEXTS`` over the number of languages but 8 at least, where languages
+    are many; a language always has one. Of each text at most ``TRAINING_SEGMENTS`` segments are taken
+    evenly over the text; only fixed-size bitmaps reach the driver. Rows without a language or without
+    letters are not used. Raises ValueError if nothing is left.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not counts:
-        raise ValueError("no labelled texts to learn a language from")
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\p{L}"))
     span = 1 << 30
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(span, span * sample_per_language / n) + 1))])
     place = F.pmod(F.xxhash64("text"), F.lit(span))
-    sample = rows.where(place < F.element_at(limits, F.col("lang"))).mapInArrow(_bitmaps, "lang string, bits binary")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    if not found:
+        raise ValueError("no labelled texts to learn a language from")
+    each = min(sample_per_language, max(8, SAMPLE_TEXTS // len(found)))
+    most = max(1, min(TRAINING_SEGMENTS, SAMPLE_TEXTS * TRAINING_SEGMENTS // (each * len(found))))
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], int(max(r["least"], min(span, span * each / r["n"]))) + 1) for r in found], "lang string, below long")
+    sample = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("lang", "text").mapInArrow(lambda batches: _bitmaps(batches, most), "lang string, bits binary")
     seen = sorted({(r["lang"], bytes(r["bits"])) for r in sample.collect()})
     if not seen:
         raise ValueError("no labelled texts to learn a language from")

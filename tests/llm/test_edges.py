@@ -205,6 +205,33 @@ def test_very_long_texts_keep_their_language(spark):
     assert found == names and scores.min() > 0.5
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a fixed number, each of few texts, and a sample that would miss some."""
+    rng = random.Random(9)
+    own = {f"l{k:03}": [chr(0x4E00 + 20 * k + j) for j in range(20)] for k in range(230)}
+    text = lambda name: " ".join("".join(rng.choices(own[name], k=4)) for _ in range(30))
+    rows = [(name, text(name)) for name in own for _ in range(5)] + [("l000", "12 34"), (None, "none")]
+    data = spark.createDataFrame(rows, "lang string, text string")
+    for each in (400, 1):
+        model = langid.train(data, sample_per_language=each)
+        assert model.languages == list(own)
+        assert langid.predict(model, [text(x) for x in own])[0] == list(own)
+
+
+def test_more_languages_than_landmarks(monkeypatch):
+    """Landmarks are bounded and handled in parts, languages aren't bounded."""
+    rng = np.random.default_rng(3)
+    own = [rng.random(langid.BUCKETS) < 0.02 for _ in range(40)]
+    maps = np.array([np.packbits(own[k % 40] & (rng.random(langid.BUCKETS) < 0.7)) for k in range(400)])
+    whole = langid.fit(maps, [f"{k % 40:02}" for k in range(400)])
+    monkeypatch.setattr(langid, "_HELD", 7)
+    parts = langid.fit(maps, [f"{k % 40:02}" for k in range(400)], chunk=33)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-3) and len(whole.languages) == 40
+    monkeypatch.setattr(langid, "LANDMARKS", 25)
+    few = langid.fit(maps, [f"{k % 40:02}" for k in range(400)])
+    assert len(few.landmarks) == 25 and few.weights.shape == (26, 40)
+
+
 def test_sharding(odd, none):
     out = sharding.hilbert_shards(odd, 3, chunk_rows=2).toPandas()
     assert len(out) == 11 and out.groupby("shard").size().tolist() == [4, 4, 3] or sorted(out.groupby("shard").size()) == [3, 4, 4]
