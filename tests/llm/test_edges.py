@@ -241,6 +241,18 @@ def test_sharding(odd, none):
     assert sharding.hilbert_shards(odd.limit(1)).count() == 1
 
 
+@pytest.mark.parametrize("few", [10_000, 40])
+def test_sharding_tells_values_with_a_common_beginning_apart(spark, monkeypatch, few):
+    """Shards cover ranges of sources that differ after their sixth byte only."""
+    monkeypatch.setattr(sharding, "CUT_VALUES", few, raising=False)
+    rows = [(k, "same size", ("zh-Hans-a", "zh-Hans-b")[k % 2], f"https://host{k % 160:03}.example/") for k in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sharding.hilbert_shards(docs, 8).join(docs, "doc_id").toPandas()
+    assert out.hilbert.nunique() >= 16
+    # a shard of an eighth of all rows holds about a quarter of one language's sources
+    assert out.groupby("shard").source.nunique().max() <= 80 and out.groupby("shard").lang.nunique().mean() < 2
+
+
 def test_bpe(odd, none):
     texts = {r.doc_id: r.text or "" for r in odd.select("doc_id", "text").collect()}
     out = bpe.encode_documents(odd, RANKS, public_tokenizers.PATTERN).collect()
