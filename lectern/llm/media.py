@@ -8,6 +8,7 @@ its content; the rest correct a declared type (a hit at offset 0) or are embedde
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -100,11 +101,22 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(data) - at else None
 
 
+_PDF_HEADER, _PDF_END = re.compile(rb"%PDF-[12]\."), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+
+
 def _pdf(data: bytes, at: int) -> int | None:
     if data[at + 5 : at + 6] not in (b"1", b"2") or data[at + 6 : at + 7] != b".":
         return None
     end = data.find(b"%%EOF", at)
-    return None if end < 0 or data.find(b"startxref", at, end) < 0 else end + 5 - at
+    if end < 0 or data.find(b"startxref", at, end) < 0:
+        return None
+    end += 5
+    # linearised and updated files go on: later sections name a table inside the file, up to the next file
+    following = _PDF_HEADER.search(data, end)
+    for section in _PDF_END.finditer(data, end, following.start() if following else len(data)):
+        if int(section[1]) < section.start() - at:
+            end = section.end()
+    return end - at
 
 
 def _gzip(data: bytes, at: int) -> int | None:

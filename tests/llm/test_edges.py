@@ -96,6 +96,20 @@ def test_media_validators():
         assert media.sniff(raw[:-1]) == []
 
 
+def test_pdf_of_several_revisions():
+    """Updated and linearised files end at their last section, which does not reach into another file."""
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd data \xff\xd9"
+    first = b"%PDF-1.4 body xref trailer startxref\n14\n%%EOF\n"
+    updated = first + b"5 0 obj stream " + jpeg + b" endstream xref trailer startxref\r\n50\r\n%%EOF"
+    linear = b"%PDF-1.5 first xref startxref\n0\n%%EOF\nrest " + jpeg + b" startxref\n15\n%%EOF"
+    for raw in (updated, linear, updated + b" 6 0 obj startxref 70 %%EOF"):
+        assert media.sniff(b"--" + raw + b"--") == [media.Found("application/pdf", 2, len(raw))]
+    two = media.sniff(updated + b"\n" + linear)
+    assert two == [media.Found("application/pdf", 0, len(updated)), media.Found("application/pdf", len(updated) + 1, len(linear))]
+    beside = media.sniff(first + jpeg + b" startxref 99999 %%EOF")
+    assert beside == [media.Found("application/pdf", 0, len(first) - 1), media.Found("image/jpeg", len(first), len(jpeg))]
+
+
 def test_url_filters(spark):
     rules = spark.createDataFrame([("a.b", "/", "block"), ("B", "/x/", "allow"), ("a.b", "/", "allow"), (None, "/", "block"), ("c", "", "block")], "host string, path string, verdict string")
     urls = ["http://a.b/x/1", "HTTP://A.B", "http://z.a.b/?q", "http://ab/", "http://b/x/y#f", "http://xb/x/", None, "", "no scheme", "http://c?x", "http://q.c", "http://B/x", "http://a.b:80/"]
