@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,39 @@ def where_text(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]],
     return docs.mapInArrow(run, docs.schema)
 
 
+def keyed_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of rows sorted by the first one: either whole groups of equal keys, or a piece of one large group.
+
+    A group is held until it has ended or has more than ``limit`` rows; then it comes in pieces, each
+    flagged, so memory is bounded by ``limit`` and a batch whatever a key's number of rows.
+    """
+    held, hot = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held is not None else now
+        held = None
+        if hot is not None:
+            end = int(np.searchsorted(now[0], hot, "right"))
+            if end:
+                yield [c[:end] for c in now], True
+                now = [c[end:] for c in now]
+            if not len(now[0]):
+                continue
+            hot = None
+        last = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if last:
+            yield [c[:last] for c in now], False
+        held = [c[last:] for c in now]
+        if len(held[0]) > limit:
+            hot = held[0][0]
+            yield held, True
+            held = None
+    if held is not None:
+        yield held, False
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

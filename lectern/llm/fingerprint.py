@@ -40,7 +40,8 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes with all bits depending on all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -52,8 +53,15 @@ def sketch(text: str | None, size: int = SKETCH_SIZE, shingle: int = SHINGLE_WOR
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer words than a shingle is
     one shingle; a null text or one without words has an empty sketch.
     """
-    words = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
     least = np.empty(0, np.uint64)
+    for part in _hashed(text, shingle):
+        least = np.unique(np.concatenate([least, part]))[:size]
+    return least
+
+
+def _hashed(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, about a million at a time."""
+    words = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
     width = min(shingle, len(words))
     for at in range(0, len(words) - width + 1 if words else 0, _BLOCK):
         part = words[at : at + _BLOCK + width - 1]
@@ -62,8 +70,12 @@ def sketch(text: str | None, size: int = SKETCH_SIZE, shingle: int = SHINGLE_WOR
         value = np.full(n, width, np.uint64)
         for k in range(width):
             value = value * _STEP + codes[k : k + n]
-        least = np.unique(np.concatenate([least, _mixed(value)]))[:size]
-    return least
+        yield mixed(value)
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """All distinct shingle hashes of a text, ascending; what :func:`sketch` keeps the least of."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashed(text, shingle)]))
 
 
 def merge(a: np.ndarray, b: np.ndarray, size: int = SKETCH_SIZE) -> np.ndarray:

@@ -8,9 +8,9 @@ under (exact segment, codeword of the next segment) and *probes* under every cod
 segment reaches with one flip, so linked fingerprints always meet under some key. Candidates that
 meet are verified by counting the differing bits.
 
-Rows under one key are distinct fingerprints, so exact copies never pile up. Small groups are
-compared directly; a large group looks up every fingerprint's two-bit neighbourhood in the sorted
-group instead of comparing all pairs. Either way a group gives at most a spanning forest of links.
+Rows under one key are distinct fingerprints, so exact copies never pile up. A group is compared directly
+and gives a spanning forest of links; the members of a group that is too large for one task meet again
+under the values one bit away from them, in groups of at most 65.
 """
 
 from __future__ import annotations
@@ -21,17 +21,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import cut, release, require, small_batches
+from lectern.llm.common import cut, keyed_groups, release, require, small_batches
 from lectern.llm.components import Forest, connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-_SMALL = 2048
+#: Rows of a key that one task compares directly.
+GROUP_ROWS = 4096
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -54,10 +55,15 @@ _ERRORS = _error_table()
 _LOW, _HIGH = _remainders(np.arange(4096)), _remainders(np.arange(2048) << 12)
 
 
+def golay_codeword(words: np.ndarray) -> np.ndarray:
+    """The codeword nearest to each 23-bit word; its highest 12 bits are its message."""
+    words = words.astype(np.int64)
+    return words ^ _ERRORS[_LOW[words & 4095] ^ _HIGH[words >> 12]]
+
+
 def golay_index(words: np.ndarray) -> np.ndarray:
     """The 12-bit message of the codeword nearest to each 23-bit word."""
-    words = words.astype(np.int64)
-    return (words ^ _ERRORS[_LOW[words & 4095] ^ _HIGH[words >> 12]]) >> 11
+    return golay_codeword(words) >> 11
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,19 +85,18 @@ def fingerprint(text: str | None) -> int:
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[Column, ...] = ()) -> DataFrame:
-    """``doc_id, fp`` of every row, the fingerprint as a signed long, then the ``carried`` columns."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp`` of every row, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    kept = [f.name for f in slim.schema.fields[2:]]
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
             release()
 
-    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType()), *slim.schema.fields[2:]]))
+    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def _keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,78 +127,76 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner.view(np.int64)), pa.array(own)], names=["key", "fp", "own"])
 
 
-def _neighbour_masks(bits: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for n in range(1, bits + 1) for c in combinations(range(64), n)], np.uint64)
-
-
 def links(indexed: np.ndarray, probing: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within two bits between the index rows and all rows of a key."""
     forest, found = Forest(), []
-    if len(indexed) <= _SMALL or len(probing) <= _SMALL:
-        for at in range(0, len(indexed), 512):
-            i, j = np.nonzero(np.bitwise_count(indexed[at : at + 512, None] ^ probing[None, :]) <= MAX_BITS)
-            found += [(a, b) for a, b in zip(indexed[at + i].tolist(), probing[j].tolist(), strict=True) if a != b and forest.union(a, b)]
-        return found
-    ordered = np.sort(probing)
-    for mask in _neighbour_masks(MAX_BITS):
-        near = indexed ^ mask
-        at = np.minimum(np.searchsorted(ordered, near), len(ordered) - 1)
-        hit = ordered[at] == near
-        found += [(a, b) for a, b in zip(indexed[hit].tolist(), near[hit].tolist(), strict=True) if forest.union(a, b)]
+    for at in range(0, len(indexed), 512):
+        i, j = np.nonzero(np.bitwise_count(indexed[at : at + 512, None] ^ probing[None, :]) <= MAX_BITS)
+        found += [(a, b) for a, b in zip(indexed[at + i].tolist(), probing[j].tolist(), strict=True) if a != b and forest.union(a, b)]
     return found
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in, verified links out; a group may span batches."""
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
 
-    def emit(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        has = np.add.reduceat(own.astype(np.int64), starts)
-        out = []
-        for i in np.flatnonzero((ends - starts > 1) & (has > 0)):
-            group, mine = fp[starts[i] : ends[i]], own[starts[i] : ends[i]]
-            out += links(group[mine], group)
-        return out
+def _meet(limit: int):  # noqa: ANN202
+    """Rows sorted by key in; verified links of groups up to ``limit`` out, and the members of others without a partner."""
 
-    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        ends = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+    def alone(fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, fp, own), piece in keyed_groups(batches, limit):
+            if piece:
+                yield alone(fp)
+                continue
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            has, out = np.add.reduceat(own.astype(np.int64), starts), []
+            for i in np.flatnonzero((ends - starts > 1) & (has > 0)):
+                group, mine = fp[starts[i] : ends[i]], own[starts[i] : ends[i]].astype(bool)
+                if len(group) > limit:
+                    yield alone(group)
+                else:
+                    out += links(group[mine].view(np.uint64), group.view(np.uint64))
+            if out:
+                yield _pairs(out)
+
+    return run
+
+
+def _flipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every fingerprint under itself and all 64 values one bit away."""
+    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64)]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        own = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        if held and held[0][0][0] == key[-1]:
-            held.append((key, fp, own))
-            continue
-        last = int(np.searchsorted(key, key[-1], "left"))
-        held.append((key[:last], fp[:last], own[:last]))
-        key_done, fp_done, own_done = (np.concatenate(x) for x in zip(*held, strict=True))
-        held = [(key[last:], fp[last:], own[last:])]
-        if len(key_done) and (pairs := emit(key_done, fp_done, own_done)):
-            yield batch_of(pairs)
-    if held:
-        key, fp, own = (np.concatenate(x) for x in zip(*held, strict=True))
-        if pairs := emit(key, fp, own):
-            yield batch_of(pairs)
-
-
-def link_fingerprints(prints: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that connect all distinct ``fp`` values within two bits of each other."""
-    keyed = prints.select("fp").mapInArrow(_probe, "key long, fp long, own boolean")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
+        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(prints), 2048):
+            near = prints[at : at + 2048, None] ^ flips[None, :]
+            owner = np.broadcast_to(prints[at : at + 2048, None], near.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().view(np.int64)), pa.array(owner.ravel().view(np.int64))], names=["key", "fp"])
 
 
-def _labelled(hashed: DataFrame, least: Column) -> DataFrame:
-    """``fp, least, component`` of every distinct fingerprint, ``least`` being the minimum over its rows."""
-    classes = cut(hashed.groupBy("fp").agg(F.min(least).alias("least")))
-    # materialised first, so that no task runs two Python functions at once
-    groups = connected_components(cut(link_fingerprints(classes))).withColumnRenamed("node", "fp")
-    return classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key in: at most 65 distinct fingerprints under a key, each two bits or less from all others."""
+    for (key, fp), _ in keyed_groups(batches, 1 << 16):
+        same = np.flatnonzero(key[1:] == key[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[same]), pa.array(fp[same + 1])], names=["a", "b"])
+
+
+def link_fingerprints(prints: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links ``(a, b)`` that connect all distinct ``fp`` values within two bits of each other.
+
+    The members of a key with more than ``group_rows`` rows are not compared in one task. They meet
+    again under the values one bit away from them: two fingerprints within two bits have such a value in
+    common, and no value is one bit away from more than 64, so every group is small and none is lost.
+    """
+    keyed = prints.select("fp").mapInArrow(_probe, "key long, fp long, own boolean")
+    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(group_rows), "a long, b long"))
+    crowded = met.where("b is null").select("a").distinct().mapInArrow(_flipped, "key long, fp long")
+    rest = crowded.repartition("key").sortWithinPartitions("key").mapInArrow(_chained, "a long, b long")
+    return met.where("b is not null").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,25 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     require(docs, id_col, text_col)
     hashed = cut(fingerprints(docs, id_col, text_col))
-    labelled = _labelled(hashed, F.col("doc_id"))
+    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # materialised first, so that no task runs two Python functions at once
+    groups = connected_components(cut(link_fingerprints(classes))).withColumnRenamed("node", "fp")
+    labelled = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "component").select("fp", "component_id")
     return hashed.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
-    """``key_a, key_b``: 128 bits of hash that tell rows apart by id and text, also where the id is null."""
-    parts = (F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
-    return F.xxhash64(F.lit(0), *parts).alias("key_a"), F.xxhash64(F.lit(1), *parts).alias("key_b")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The :func:`row_key` of one row of each component: the least id's, null ids last, then the least key's.
-
-    Components are those of :func:`near_duplicates`, told apart by their fingerprints and not by an id, so
-    neither null ids nor an id on several texts make two components one.
-    """
-    require(docs, id_col, text_col)
-    hashed = cut(fingerprints(docs, id_col, text_col, row_key(id_col, text_col)))
-    labelled = _labelled(hashed, F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key_a", "key_b"))
-    return labelled.groupBy("component").agg(F.min("least").alias("least")).select("least.key_a", "least.key_b")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, chat, components, fingerprint, langid, media, packing, quality, sharding, simhash, urlfilter
+from lectern.llm import bpe, chat, common, components, fingerprint, langid, media, nearcopies, packing, quality, sharding, simhash, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -381,17 +381,90 @@ def test_links_lose_nothing(spark):
     assert {k: found.get(k, k) for k in ids} == parent
 
 
-def test_large_groups_agree_with_small(monkeypatch):
+def _connected(spark, prints, **bounds):
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    found = {r.node: r.component for r in components.connected_components(simhash.link_fingerprints(df, **bounds)).collect()}
+    return {int(x): found.get(int(x), int(x)) for x in prints.view(np.int64)}
+
+
+def test_large_groups_agree_with_small(spark):
+    """Members of a key with too many rows for a task meet by values one bit away."""
     rng = np.random.default_rng(7)
-    group = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 30, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 300, dtype=np.uint64)))
-    def groups(pairs):
-        forest = components.Forest()
-        for a, b in pairs:
-            forest.union(a, b)
-        return {int(x): forest.find(int(x)) for x in group}
-    small = groups(simhash.links(group, group))
-    monkeypatch.setattr(simhash, "_SMALL", 1)
-    assert groups(simhash.links(group, group)) == small
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    group = np.unique(np.r_[np.uint64(12345) ^ bit() ^ bit(), np.uint64(1 << 50) ^ bit() ^ bit() ^ bit()])
+    whole = _connected(spark, group)
+    assert len(set(whole.values())) < len(group) - 300 and _connected(spark, group, group_rows=3) == whole
+
+
+def test_groups_come_whole_or_in_pieces():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(2).integers(0, 40, 3000) ** 2 // 40)
+    keys = np.r_[keys, np.full(900, 99)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[at : at + 70]), pa.array(np.arange(at, min(at + 70, len(keys))))], names=["k", "v"]) for at in range(0, len(keys), 70)]
+    seen, whole = [], set()
+    for (k, v), piece in common.keyed_groups(iter(batches), 100):
+        assert len(k) <= 400 and (not piece or len(set(k)) == 1)
+        seen += v.tolist()
+        if not piece:
+            assert not whole & set(k.tolist())
+            whole |= set(k.tolist())
+    assert seen == list(range(len(keys))) and 99 not in whole and len(whole) > 20
+
+
+def _edited(rng, words, share, lexicon):
+    words = list(words)
+    for i in rng.sample(range(len(words)), max(1, int(len(words) * share))):
+        words[i] = rng.choice(lexicon)
+    return words
+
+
+def _near_copies(seed=13):
+    """Rows of texts and copies with more and less of their words changed, some long, some of few words."""
+    rng = random.Random(seed)
+    lexicon = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = [rng.choices(lexicon, k=rng.choice([1, 3, 6, 40, 150, 400])) for _ in range(160)]
+    texts += [_edited(rng, t, share, lexicon) for t in texts[:120] for share in (0.01, 0.02, 0.03, 0.05)]
+    hub = rng.choices(lexicon, k=200)
+    texts += [hub, *(_edited(rng, hub, 0.02, lexicon) for _ in range(90))]
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def _by_brute_force(rows, similarity=0.8):
+    """The least id of each text's group over all pairs of five-word shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else {()} for _, t in rows]
+    parent = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b) and parent[i] != parent[j]:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    return {rows[p][0] for p in parent}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"group_rows": 5}, {"block_shingles": 1500}], ids=["whole", "large keys", "several blocks"])
+def test_near_copies_against_brute_force(spark, bounds):
+    """All groups at a similarity of 0.8, also where keys and components are too large for one task."""
+    rows = _near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = docs.select("doc_id", *nearcopies.row_key())
+    kept = {r.doc_id for r in keyed.join(nearcopies.representatives(docs, **bounds), ["key_a", "key_b"]).collect()}
+    want = _by_brute_force(rows)
+    assert len(rows) - len(want) > 150 and kept == want
+
+
+def test_exact_links_are_all_found():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(300)]
+    forest = components.Forest()
+    for a, b in nearcopies.exact_links(sets, 0.6):
+        assert len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])) - 1e-9 and forest.union(a, b)
+    for a in range(300):
+        for b in range(a):
+            alike = len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])) - 1e-9
+            assert not alike or forest.find(a) == forest.find(b)
+    assert nearcopies.exact_links([], 0.8) == []
 
 
 def test_components_of_a_chain(spark):
@@ -432,14 +505,4 @@ def test_pipeline_by_hand(spark, language_model):
     docs = docs[[x != "und" and s >= corpus_pipeline.LANGUAGE_SCORE for x, s in zip(langs, scores, strict=True)]]
     model = quality.train(spark.createDataFrame(docs), spark.read.parquet(f"{DIR}/labels.parquet"))
     docs = docs[[quality.score(model, t) >= quality.THRESHOLD for t in docs.text]]
-    prints = np.array([simhash.fingerprint(t) for t in docs.text], np.uint64)
-    parent = list(range(len(prints)))
-    for i in range(len(prints)):
-        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 2):
-            low, high = sorted((parent[i], parent[int(j)]))
-            parent = [low if p == high else p for p in parent]
-    ids = docs.doc_id.to_numpy()
-    least = {}
-    for p, d in zip(parent, ids, strict=True):
-        least[p] = min(d, least.get(p, d))
-    assert set(out.doc_id) == set(least.values())
+    assert set(out.doc_id) == _by_brute_force(sorted(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)))
