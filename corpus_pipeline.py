@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, packing, quality, simhash
+from lectern.llm import langid, nearcopies, packing, quality
 from lectern.llm.common import shared_folder, small_batches, table
 
 #: A text whose best language scores below this is in none of the learned languages.
@@ -51,13 +51,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component: the one with the smallest id, once if it is repeated.
+    """Keep one document of each group of near copies: the one with the smallest id, once if it is repeated.
 
-    Rows are told apart by id and text. Documents without an id come last, so one of them is kept only
+    Near copies share 0.8 or more of their five-word shingles. Rows are told apart by id and text. Documents without an id come last, so one of them is kept only
     where its component has no id at all; of several texts under one id the least by hash comes first.
     """
-    keep = simhash.representatives(docs)
-    keyed = docs.select(*simhash.row_key(), F.struct("*").alias("row")).join(keep, ["key_a", "key_b"], "left_semi")
+    keep = nearcopies.representatives(docs)
+    keyed = docs.select(*nearcopies.row_key(), F.struct("*").alias("row")).join(keep, ["key_a", "key_b"], "left_semi")
     # what is left under a key has one id and text
     once = Window.partitionBy("key_a", "key_b").orderBy(*[F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")])
     return keyed.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
