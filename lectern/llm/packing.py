@@ -2,7 +2,7 @@
 
 Documents are tokenised where they lie and cut only where they exceed the sequence length, so the
 shuffled rows are slim pieces, never texts or ids. A histogram of piece lengths (at most one row per
-length class) reaches the driver. There a linear program over cutting patterns is solved by column
+size class, of which there are 320) reaches the driver. There a linear program over cutting patterns is solved by column
 generation: the restricted master gives a price per length class, a knapsack dynamic program finds the
 pattern of highest price, and the loop ends when no pattern is worth more than one sequence. Pattern
 counts are rounded down, what remains is packed greedily, and pieces ranked within their class are
@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ from lectern.llm.store import ChunkStore, expand, gathered, no_collector, per_te
 
 SEQUENCE_TOKENS, CLASS_TOKENS, END_ID = 4096, 16, 2
 #: Pieces that one task ranks together, about.
-RANK_ROWS = 50_000
+RANK_ROWS = 20_000
 PIECES = T.StructType(
     [T.StructField("doc_id", T.LongType())]
     + [T.StructField(n, T.LongType(), False) for n in ("start", "length", "ids_crc32", "doc_tokens")]
@@ -148,75 +148,74 @@ class Pattern(NamedTuple):
     times: int
 
 
-def _best_pattern(prices: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+def _best_pattern(prices: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The knapsack of highest price, by dynamic programming over the capacity."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(weights, np.arange(capacity + 1), "right").tolist()
     for room in range(int(weights[0]), capacity + 1):
-        fits = np.searchsorted(weights, room, "right")
+        fits = fitting[room]
         worth = best[room - weights[:fits]] + prices[:fits]
-        i = int(np.argmax(worth))
+        i = int(worth.argmax())
         if worth[i] > best[room - 1]:
             best[room], taken[room] = worth[i], i
         else:
             best[room] = best[room - 1]
-    counts: dict[int, int] = {}
-    room = capacity
+    counts, room = np.zeros(len(weights)), capacity
     while room > 0:
         i = int(taken[room])
-        if i < 0:
-            room -= 1
-            continue
-        counts[i] = counts.get(i, 0) + 1
-        room -= int(weights[i])
+        counts[i] += i >= 0
+        room -= int(weights[i]) if i >= 0 else 1
     return float(best[capacity]), counts
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = 4000, gap: float = 5e-4) -> list[Pattern]:
-    """Patterns over length classes ``1..capacity`` that cut exactly ``demand`` pieces of each class.
+def solve_patterns(demand: dict[int, int], capacity: int, max_columns: int = 4000, gap: float = 1e-3) -> list[Pattern]:
+    """Patterns over lengths ``1..capacity`` that cut exactly ``demand`` pieces of each.
 
-    Column generation with a dense basis inverse: one row per class, so at most ``capacity`` rows.
+    Column generation with a dense basis inverse: one row per length, so at most ``capacity`` rows. It ends
+    where at most half a sequence or a share of ``gap`` is left to gain, or after ``max_columns`` columns,
+    which bounds the time and the padding saved, not what is packed.
     """
     classes = sorted(k for k, n in demand.items() if n > 0)
     if not classes:
         return []
     weights, need = np.array(classes), np.array([demand[k] for k in classes], float)
     m = len(classes)
-    basis = np.diag((capacity // weights).astype(float))
+    basis, costs = np.diag((capacity // weights).astype(float)), np.ones(m)
     inverse = np.diag(1 / np.diag(basis))
     amount, filled = inverse @ need, float(weights @ need) / capacity
-    for step in range(max_columns):
-        prices = inverse.sum(axis=0)
-        worth, counts = _best_pattern(np.maximum(prices, 0), weights, capacity)
-        # no solution is below total / worth or what the pieces fill: stop where half a sequence or less, or a small share, is left to gain
-        total = amount.sum()
-        if worth <= 1 + 1e-7 or total - max(total / worth, filled) < max(0.5, gap * total):
-            break
-        column = np.zeros(m)
-        for i, n in counts.items():
-            column[i] = n
-        column[prices < 0] = 0
+    for step in range(1, max_columns + 1):
+        prices = costs @ inverse
+        if prices.min() < -1e-9:
+            # a pattern may hold more pieces of a length than there are: what is too much costs nothing
+            column, cost = -np.eye(m)[int(prices.argmin())], 0.0
+        else:
+            worth, column = _best_pattern(np.maximum(prices, 0), weights, capacity)
+            cost, total = 1.0, costs @ amount
+            # no solution is below total / worth or what the pieces fill
+            if worth <= 1 + 1e-7 or total - max(total / worth, filled) < max(0.5, gap * total):
+                break
         change = inverse @ column
         rows = np.flatnonzero(change > 1e-9)
         if not len(rows):
             break
-        ratio = amount[rows] / change[rows]
-        out = rows[int(np.argmin(ratio))]
-        basis[:, out] = column
-        if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-        else:
-            inverse[out] /= change[out]
-            others = np.arange(m) != out
-            inverse[others] -= np.outer(change[others], inverse[out])
+        out = rows[int(np.argmin(amount[rows] / change[rows]))]
+        basis[:, out], costs[out] = column, cost
+        inverse[out] /= change[out]
+        change[out] = 0
+        inverse -= np.outer(change, inverse[out])
+        if step % 64 == 0:
+            # a Newton step takes rounding errors away (numpy's own inversion can lock up after a fork)
+            inverse = 2 * inverse - inverse @ (basis @ inverse)
         amount = np.maximum(inverse @ need, 0)
     patterns, left = [], need.astype(np.int64)
-    for i in np.argsort(-amount):
-        column = np.rint(basis[:, i]).astype(np.int64)
-        used = column > 0
-        times = int(min(np.floor(amount[i] + 1e-6), (left[used] // column[used]).min(initial=1 << 60))) if used.any() else 0
-        if times:
-            patterns.append(Pattern({classes[k]: int(column[k]) for k in np.flatnonzero(used)}, times))
-            left -= column * times
+    for i in np.argsort(-amount * costs, kind="stable"):
+        times = int(amount[i] * costs[i] + 1e-6)
+        while times and (column := np.minimum(np.rint(basis[:, i]).astype(np.int64), left)).any():
+            used = np.flatnonzero(column)
+            same = min(times, int((left[used] // column[used]).min()))
+            patterns.append(Pattern({classes[k]: int(column[k]) for k in used}, same))
+            left -= column * same
+            times -= same
     while left.any():
         room, counts = capacity, {}
         for k in range(m - 1, -1, -1):
@@ -241,23 +240,32 @@ def _slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return slots
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, class_tokens: int = CLASS_TOKENS, rank_rows: int = RANK_ROWS) -> DataFrame:
+def class_size(length: Column, capacity: int) -> Column:
+    """The size that a piece is planned with: its length up to 32 tokens, above that rounded up by 3 % at most."""
+    size = lambda width: F.floor((length + (width - 1)) / width) * width
+    out = size(CLASS_TOKENS)
+    for width in (8, 4, 2, 1):
+        out = F.when(length <= 32 * width, size(width)).otherwise(out)
+    return F.least(out, F.lit(capacity)).cast("int")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, rank_rows: int = RANK_ROWS) -> DataFrame:
     """Add ``sequence_id``, ``offset``, ``sequence_tokens`` and ``padded_tokens`` to rows with ``doc_id, start, length``.
 
     ``pieces`` is read several times and should be materialised. Lengths are 1 to ``capacity``. A
-    sequence is padded to ``capacity`` except where its tokens are a power of two. Equal rows are dealt
-    to different slots; an empty table gives no rows.
+    sequence is padded to ``capacity`` except where its tokens are a power of two. Equal rows, rows of one
+    id and rows without an id are dealt to different slots like any others; an empty table gives no rows.
     """
     spark: SparkSession = pieces.sparkSession
-    units = capacity // class_tokens
-    classed = pieces.withColumn("class", F.expr(f"cast((length + {class_tokens - 1}) div {class_tokens} as int)"))
+    # rows of a class are dealt to buckets by number, so neither ids nor repeated rows pile up in one
+    classed = pieces.withColumn("class", class_size(F.col("length"), capacity)).withColumn("row", F.monotonically_increasing_id())
     demand = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
-    slots = spark.createDataFrame(_slots(solve_patterns(demand, units)), "class int, low long, high long, times long, first long")
-    spans = [max(1, -(-demand.get(k, 0) // rank_rows)) for k in range(units + 1)]
-    bucketed = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), lookup(spans, F.col("class"))))
+    slots = spark.createDataFrame(_slots(solve_patterns(demand, capacity)), "class int, low long, high long, times long, first long")
+    spans = [max(1, -(-demand.get(k, 0) // rank_rows)) for k in range(capacity + 1)]
+    bucketed = classed.withColumn("bucket", F.pmod(F.xxhash64("row"), lookup(spans, F.col("class"))))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = bucketed.groupBy("class", "bucket").count().select("class", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("class", "bucket").orderBy(F.desc("length"), "doc_id", "start")
+    within = Window.partitionBy("class", "bucket").orderBy(F.desc("length"), "doc_id", "start", "row")
     ranked = bucketed.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
     # the slots are bounded by classes times pieces in a pattern, whatever the number of documents
     dealt = ranked.join(F.broadcast(slots.withColumnRenamed("class", "slot_class")), F.expr("class = slot_class and rank >= low and rank < high"))

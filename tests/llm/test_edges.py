@@ -58,6 +58,22 @@ def test_packing(odd, none):
     assert packing.solve_patterns({}, 256) == []
 
 
+def test_short_documents_are_packed_tightly(spark):
+    """Pieces of a few tokens, all with one id or none, fill their sequences."""
+    rows = [(None if k % 2 else 7, 0, 4 + k * k % 16) for k in range(20_000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long").repartition(4).checkpoint()
+    out = packing.pack_pieces(pieces, rank_rows=300).toPandas()
+    assert len(out) == len(rows) and sorted(out.length) == sorted(x for _, _, x in rows)
+    assert out.length.sum() / out.groupby("sequence_id").padded_tokens.first().sum() > 0.97
+    assert (out.sort_values("offset").groupby("sequence_id").length.apply(lambda x: x.cumsum().shift(fill_value=0)).to_numpy() == out.sort_values(["sequence_id", "offset"]).offset.to_numpy()).all()
+
+
+def test_size_classes(spark):
+    found = spark.range(1, 4097).select("id", packing.class_size(F.col("id"), 4096).alias("c")).toPandas()
+    assert (found.c >= found.id).all() and (found.c <= found.id * 33 / 32 + 15).all() and (found.c[:32] == found.id[:32]).all() and found.c.nunique() == 320 and found.c.max() == 4096
+
+
+
 def test_media(odd, none, spark):
     out = media.carve(media.store_as_samples(odd)).toPandas()
     assert len(out) == 11 and (out.media_type == "audio/wav").all()
