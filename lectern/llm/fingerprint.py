@@ -15,11 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import require, small_batches
+from lectern.llm.common import lookup, require, small_batches
 
 SKETCH_SIZE, SHINGLE_WORDS = 128, 5
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -147,33 +147,32 @@ def edited_text(text: str, following: str) -> str:
 EDITED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType(), False)]
     + [T.StructField(n, T.StringType(), False) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]
-    + [T.StructField(n, T.DoubleType(), False) for n in ("near_edited", "near_next")]
+    + [T.StructField(n, T.DoubleType(), False) for n in ("near_edited", "near_next", "kept_in_edited", "n_shingles")]
 )
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by bucket and descending id in; each is finished when the next one comes. Ghosts only follow."""
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
     rows, held, bucket = [], None, None
 
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=EDITED.names)
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            place, ghost, doc = (batch.column(k)[i].as_py() for k in range(3))
+        for place, ghost, doc, text in zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True):
             if place != bucket:
                 held, bucket = None, place
             if ghost and held is None:
                 continue
-            text = batch.column(3)[i].as_py() or ""
             own = sketch(text)
             if held is not None:
                 last_doc, last_text, last = held
                 edited = edited_text(last_text, text)
                 changed = sketch(edited)
                 digest = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-                rows.append((last_doc, len(last_text), digest, to_text(last), to_text(changed), resemblance(last, changed), resemblance(last, own)))
+                near = resemblance(last, changed), resemblance(last, own), containment(last, changed), distinct_shingles(last)
+                rows.append((last_doc, len(last_text), digest, to_text(last), to_text(changed), *near))
                 if len(rows) >= 2000:
                     yield flush()
                     rows = []
@@ -195,6 +194,10 @@ def _ranges(order: Column, low: int, high: int, cuts: list[int], fine: int) -> C
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ranges: int = 65_536) -> DataFrame:
     """Fingerprint every text and the text edited with its successor in descending id order.
 
+    ``near_edited`` and ``near_next`` estimate the resemblance to the edited and to the next text,
+    ``kept_in_edited`` the share of the text's shingles that the edited one still has, and ``n_shingles``
+    the number of distinct shingles.
+
     The successor of the least id is the greatest. Ids are cut into at most ``max_ranges`` ranges, one
     shuffle brings each range's texts together in order, and the first document of the next range comes
     along as a ghost; only one id per range reaches the driver and is broadcast. Null texts count as
@@ -222,5 +225,53 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = place(bucket, False)
     places = F.when(F.col("target").isNull(), F.array(own)).otherwise(F.array(own, place(F.col("target"), True)))
     dealt = placed.select(F.explode(places).alias("at"), "doc_id", "text").select("at.bucket", "at.ghost", "doc_id", "text")
-    sorted_ = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "text")
-    return sorted_.mapInArrow(_chain, EDITED)
+    # hashing the ranges themselves would leave some tasks without one and give others three
+    even = lookup(_one_per_partition(spark, count), F.pmod(F.col("bucket"), F.lit(count)))
+    sorted_ = dealt.withColumn("deal", even).select("deal", "bucket", "ghost", "doc_id", "text").repartition(count, "deal")
+    return sorted_.sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "text").mapInArrow(_chain, EDITED)
+
+
+def _one_per_partition(spark: SparkSession, count: int) -> list[int]:
+    """For each of ``count`` partitions a number that Spark's hash partitioning deals to it."""
+    some = spark.range(0, 16 * count + 64, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(count)).alias("p"))
+    found = {r["p"]: r["id"] for r in some.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [found.get(p, p) for p in range(count)]
+
+
+def _merged_runs(size: int, sorted_rows: bool):  # noqa: ANN202
+    """Merge the sketches of rows with equal keys: of sorted rows one after the other, of others some thousand keys at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        schema = None
+
+        def out() -> pa.RecordBatch:
+            columns = [*zip(*held, strict=True), [to_text(x) for x in held.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+        for batch in batches:
+            schema = batch.schema
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(key)
+                if key not in held and len(held) >= (1 if sorted_rows else 4096):
+                    yield out()
+                    held.clear()
+                held[key] = merge(held[key], from_text(text), size) if key in held else from_text(text)
+        if held:
+            yield out()
+
+    return run
+
+
+def merge_sketches(sketches: DataFrame, *keys: str, col: str = "fingerprint", size: int = SKETCH_SIZE) -> DataFrame:
+    """``keys`` and the fingerprint of the union of all parts' shingles, one row per key.
+
+    Parts are merged where they lie first, so a key that most rows share is shuffled as one row per task
+    and some thousand keys; then one running sketch per key is all that a task holds. Null keys are a key,
+    null fingerprints and empty tables give no rows, repeated rows change nothing.
+    """
+    require(sketches, *keys, col)
+    slim = sketches.where(F.col(col).isNotNull()).select(*keys, col)
+    parts = slim.mapInArrow(_merged_runs(size, False), slim.schema)
+    dealt = parts.repartition(*keys) if keys else parts.coalesce(1)
+    return (dealt.sortWithinPartitions(*keys) if keys else dealt).mapInArrow(_merged_runs(size, True), slim.schema)

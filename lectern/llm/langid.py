@@ -198,22 +198,23 @@ def _bitmaps(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 def train(labelled: DataFrame, sample_per_language: int = 400, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of labelled rows of every language.
 
-    About ``sample_per_language`` texts of each language are taken by hash of the text, evenly over the
-    table, or fewer, about ``SAMPLE_TEXTS`` over the number of languages but 8 at least, where languages
+    About ``sample_per_language`` distinct texts of each language are taken by hash, evenly over them, so
+    copies of a text neither crowd out others nor reach the driver; or fewer, about ``SAMPLE_TEXTS`` over the number of languages but 8 at least, where languages
     are many; a language always has one. Of each text at most ``TRAINING_SEGMENTS`` segments are taken
     evenly over the text; only fixed-size bitmaps reach the driver. Rows without a language or without
     letters are not used. Raises ValueError if nothing is left.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     span = 1 << 30
-    place = F.pmod(F.xxhash64("text"), F.lit(span))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
+    place = F.pmod(F.col("hash"), F.lit(span))
+    found = rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
     if not found:
         raise ValueError("no labelled texts to learn a language from")
     each = min(sample_per_language, max(8, SAMPLE_TEXTS // len(found)))
     most = max(1, min(TRAINING_SEGMENTS, SAMPLE_TEXTS * TRAINING_SEGMENTS // (each * len(found))))
     limits = labelled.sparkSession.createDataFrame([(r["lang"], int(max(r["least"], min(span, span * each / r["n"]))) + 1) for r in found], "lang string, below long")
-    sample = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("lang", "text").mapInArrow(lambda batches: _bitmaps(batches, most), "lang string, bits binary")
+    sample = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).dropDuplicates(["lang", "hash"]).select("lang", "text").mapInArrow(lambda batches: _bitmaps(batches, most), "lang string, bits binary")
     seen = sorted({(r["lang"], bytes(r["bits"])) for r in sample.collect()})
     if not seen:
         raise ValueError("no labelled texts to learn a language from")
@@ -235,7 +236,11 @@ def identify(text: Column, model: Model) -> Column:
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows whose texts are in one of the model's languages with at least ``least_score``."""
+    """The rows whose texts are in one of the model's languages with at least ``least_score``, with all their columns.
+
+    Null texts and texts without letters are in none. Repeated rows are kept or dropped alike, an empty table
+    gives no rows, and columns of any other name are carried along.
+    """
 
     def keep(texts: list[str | None]) -> list[bool]:
         langs, scores = predict(model, texts)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -26,7 +27,47 @@ SAMPLE_RATE, BLOCK = 8000, 64
 UNKNOWN = "application/octet-stream"
 
 
-def _wav(data: bytes, at: int) -> int | None:
+class Bytes:
+    """A value with what its validators have found out, so that many hits cost no more than one.
+
+    End marks are searched for once per value, and a walk over chunks that reaches a place where another
+    walk has been goes on as that one did.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self.walked: dict[tuple[str, int], int | None] = {}
+
+    def marks(self, mark: bytes) -> list[int]:
+        """All places of an end mark, ascending."""
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self._marks[mark]
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of an end mark from ``at`` on, or -1."""
+        places = self.marks(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def walk(self, name: str, place: int, step: Callable[[int], tuple[bool, int | None]]) -> int | None:
+        """Where a walk from ``place`` ends: ``step`` gives whether it is over, and the end or the next place."""
+        seen = []
+        while (name, place) not in self.walked:
+            seen.append((name, place))
+            over, place_ = step(place)
+            if over:
+                self.walked[seen[-1]] = place_
+                break
+            place = place_
+        end = self.walked[name, place]
+        self.walked.update(dict.fromkeys(seen, end))
+        return end
+
+
+def _wav(value: Bytes, at: int) -> int | None:
+    data = value.data
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -39,88 +80,124 @@ def _wav(data: bytes, at: int) -> int | None:
             return None
         seen.add(name)
         place += 8 + size + (size & 1)
-    return end - at if {b"fmt ", b"data"} <= seen else None
+        if {b"fmt ", b"data"} <= seen:
+            break
+
+    def step(place: int) -> tuple[bool, int | None]:
+        if place + 8 > end:
+            return True, end
+        size = struct.unpack_from("<I", data, place + 4)[0]
+        return (True, None) if place + 8 + size > end else (False, place + 8 + size + (size & 1))
+
+    return end - at if {b"fmt ", b"data"} <= seen and value.walk(f"wav {end}", place, step) else None
+
 
+def _png(value: Bytes, at: int) -> int | None:
+    data = value.data
 
-def _png(data: bytes, at: int) -> int | None:
-    place = at + 8
-    while place + 12 <= len(data):
+    def step(place: int) -> tuple[bool, int | None]:
+        if place + 12 > len(data):
+            return True, None
         size, name = struct.unpack_from(">I4s", data, place)
         end = place + 12 + size
-        if end > len(data) or zlib.crc32(data[place + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
-            return None
-        if place == at + 8 and name != b"IHDR":
-            return None
-        place = end
-        if name == b"IEND":
-            return place - at
-    return None
+        if end > len(data) or zlib.crc32(memoryview(data)[place + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+            return True, None
+        return (True, end) if name == b"IEND" else (False, end)
+
+    if data[at + 12 : at + 16] != b"IHDR" or data[at + 8 : at + 12] != b"\0\0\0\r":
+        return None
+    end = value.walk("png", at + 8, step)
+    return None if end is None else end - at
+
 
+def _gif(value: Bytes, at: int) -> int | None:
+    data = value.data
 
-def _gif(data: bytes, at: int) -> int | None:
     def table(flags: int) -> int:
         return 3 * 2 ** ((flags & 7) + 1) if flags & 128 else 0
 
-    if len(data) < at + 13:
-        return None
-    place = at + 13 + table(data[at + 10])
-    images = 0
-    while place < len(data):
+    def blocks(place: int) -> tuple[bool, int | None]:
+        if place >= len(data):
+            return True, place + 1
+        return (False, place + data[place] + 1) if data[place] else (True, place + 1)
+
+    def step(place: int) -> tuple[bool, int | None]:
+        if place >= len(data):
+            return True, None
         kind = data[place]
         if kind == 0x3B:
-            return place + 1 - at if images else None
+            return True, place + 1
         if kind == 0x2C and place + 10 <= len(data):
-            place, images = place + 11 + table(data[place + 9]), images + 1
+            place += 11 + table(data[place + 9])
         elif kind == 0x21:
             place += 2
         else:
-            return None
-        while place < len(data) and data[place]:
-            place += data[place] + 1
-        place += 1
-    return None
+            return True, None
+        return False, value.walk("gif data", place, blocks)
+
+    def image(place: int) -> tuple[bool, int | None]:
+        if data[place : place + 1] == b"\x21":
+            return False, value.walk("gif data", place + 2, blocks)
+        return True, place if data[place : place + 1] == b"\x2c" else None
+
+    if len(data) < at + 13:
+        return None
+    start = at + 13 + table(data[at + 10])
+    # the walk is over at the first trailer, before which there must be an image
+    end = value.walk("gif", start, step)
+    return end - at if end and value.walk("gif image", start, image) else None
+
 
+def _jpeg(value: Bytes, at: int) -> int | None:
+    data = value.data
 
-def _jpeg(data: bytes, at: int) -> int | None:
-    place = at + 2
-    while place + 4 <= len(data) and data[place] == 0xFF:
+    def step(place: int) -> tuple[bool, int | None]:
+        if place + 4 > len(data) or data[place] != 0xFF:
+            return True, None
         marker, size = data[place + 1], struct.unpack_from(">H", data, place + 2)[0]
         if marker < 0xC0 or size < 2:
-            return None
-        place += 2 + size
+            return True, None
         if marker == 0xDA:
-            end = data.find(b"\xff\xd9", place)
-            return None if end < 0 else end + 2 - at
-    return None
+            end = value.find(b"\xff\xd9", place + 2 + size)
+            return True, None if end < 0 else end + 2
+        return False, place + 2 + size
 
+    end = value.walk("jpeg", at + 2, step)
+    return None if end is None else end - at
 
-def _bmp(data: bytes, at: int) -> int | None:
+
+def _bmp(value: Bytes, at: int) -> int | None:
+    data = value.data
     if len(data) < at + 26:
         return None
     size, _, start, header = struct.unpack_from("<IIII", data, at + 2)
     return size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(data) - at else None
 
 
-_PDF_HEADER, _PDF_END = re.compile(rb"%PDF-[12]\."), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+_PDF_END = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(value: Bytes, at: int) -> int | None:
+    data = value.data
     if data[at + 5 : at + 6] not in (b"1", b"2") or data[at + 6 : at + 7] != b".":
         return None
-    end = data.find(b"%%EOF", at)
-    if end < 0 or data.find(b"startxref", at, end) < 0:
+    end = value.find(b"%%EOF", at)
+    if end < 0 or not at < value.find(b"startxref", at) < end:
         return None
     end += 5
     # linearised and updated files go on: later sections name a table inside the file, up to the next file
-    following = _PDF_HEADER.search(data, end)
-    for section in _PDF_END.finditer(data, end, following.start() if following else len(data)):
-        if int(section[1]) < section.start() - at:
+    following = min(x for x in (value.find(b"%PDF-1.", end), value.find(b"%PDF-2.", end), len(data)) if x >= 0)
+    for start in value.marks(b"startxref")[bisect_left(value.marks(b"startxref"), end) :]:
+        if start >= following:
+            break
+        section = _PDF_END.match(data, start, following)
+        if section and int(section[1]) < start - at:
             end = section.end()
     return end - at
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    reader = zlib.decompressobj(31)
+def _gzip(value: Bytes, at: int) -> int | None:
+    data, reader = value.data, zlib.decompressobj(31)
     place = at
     try:
         while place < len(data) and not reader.eof:
@@ -133,8 +210,8 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(place, len(data)) - len(reader.unused_data) - at if reader.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(value: Bytes, at: int) -> int | None:
+    data, end = value.data, value.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
@@ -147,7 +224,7 @@ class Format(NamedTuple):
 
     media_type: str
     magic: bytes
-    length: Callable[[bytes, int], int | None]
+    length: Callable[[Bytes, int], int | None]
 
 
 #: The formats' public magic bytes.
@@ -190,9 +267,9 @@ def sniff(data: bytes) -> list[Found]:
     if not _MACHINE:
         _MACHINE.append(_automaton())
     hits = sorted((last - len(FORMATS[k].magic) + 1, k) for last, k in _MACHINE[0].iter(data.decode("latin-1")))
-    found, reached = [], 0
+    found, reached, value = [], 0, Bytes(data)
     for at, k in hits:
-        if at >= reached and (size := FORMATS[k].length(data, at)):
+        if at >= reached and (size := FORMATS[k].length(value, at)):
             found.append(Found(FORMATS[k].media_type, at, size))
             reached = at + size
     return found
@@ -244,7 +321,9 @@ def store_as_samples(df: DataFrame, key_col: str = "doc_id", text_col: str = "te
     """Texts as 8-bit WAV files: ``key, declared_type, media``.
 
     The samples are the UTF-8 bytes and zeros up to a positive multiple of 64; a null text counts as
-    empty. ``declared_type`` is what the caller claims, right or wrong.
+    empty, a very long one is one file (of less than 4 GB, as the format's lengths have 32 bits).
+    ``declared_type`` is what the caller claims, right or wrong. Repeated rows and null keys are stored like
+    others, an empty table gives no rows, and other columns are not looked at.
     """
     require(df, key_col, text_col)
     slim = spread(df.select(F.col(key_col).cast("long").alias("key"), utf8(F.col(text_col)).alias("body")))
@@ -306,7 +385,12 @@ def carve(df: DataFrame, key_col: str = "key", media_col: str = "media", declare
 
 
 def corrected_types(df: DataFrame, key_col: str = "key", media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """``key, declared_type, media_type, corrected``: the type that the bytes at offset 0 show, else the declared one."""
+    """``key, declared_type, media_type, corrected``: the type that the bytes at offset 0 show, else the declared one.
+
+    Null and empty values, and those of an unknown form, keep the declared type, unless that is a known format
+    the bytes don't have. Repeated rows come back repeated, an empty table gives no rows, and other columns
+    are not looked at.
+    """
     found = carve(df, key_col, media_col, declared_col).where("ordinal <= 0")
     actual = F.when(F.coalesce(F.col("offset"), F.lit(0)) == 0, F.col("media_type")).otherwise(F.lit(UNKNOWN))
     return found.select("key", "declared_type", actual.alias("media_type")).withColumn("corrected", ~F.col("media_type").eqNullSafe(F.col("declared_type")))

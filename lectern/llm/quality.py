@@ -64,46 +64,85 @@ _TABLE: list[np.ndarray] = []
 def line_bins(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Bin numbers (lines × measures) and lengths of a text's lines; an empty text is one empty line.
 
-    Lines end at line feeds; a line longer than 200,000 characters counts as several.
+    Lines end at line feeds. A very long line is counted block by block, so that it needs no more memory
+    than others do, and is one line.
     """
     if not _TABLE:
         _TABLE.append(_classes())
-    lines = [part for line in (text or "").split("\n") for part in ([line[i : i + _BLOCK] for i in range(0, len(line), _BLOCK)] or [""])]
-    out, lengths, at = [], [], 0
+    lines, out, at = (text or "").split("\n"), [], 0
     while at < len(lines):
+        if len(lines[at]) > _BLOCK:
+            out.append(_count_long(lines[at]))
+            at += 1
+            continue
         end, size = at, 0
-        while end < len(lines) and size < _BLOCK:
+        while end < len(lines) and size < _BLOCK and len(lines[end]) <= _BLOCK:
             size += len(lines[end]) + 1
             end += 1
-        bins, n = _measure(lines[at:end])
-        out.append(bins)
-        lengths.append(n)
+        out.append(_count(lines[at:end]))
         at = end
-    return np.concatenate(out), np.concatenate(lengths)
+    counts = np.concatenate(out)
+    return _binned(counts), counts[:, _LENGTH].astype(np.int64)
 
 
-def _measure(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer("\n".join(lines).encode("utf-32-le", "replace"), np.uint32)
-    kind = _TABLE[0][np.minimum(points, 0xFFFF)]
+#: Columns of a line's counts, after the six kinds of characters.
+_DOUBLED, _WORDS, _DISTINCT, _REPEATS, _LENGTH = range(6, 11)
+
+
+def _kinds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return points, _TABLE[0][np.minimum(points, 0xFFFF)]
+
+
+def _count(lines: list[str]) -> np.ndarray:
+    """What the measures are made of, one row per line."""
+    points, kind = _kinds("\n".join(lines))
     n = np.array([len(x) for x in lines], np.int64)
     owner = np.repeat(np.arange(len(lines)), np.r_[n[:-1] + 1, n[-1:]])
-    counts = np.bincount(owner * 6 + kind, minlength=6 * len(lines)).reshape(-1, 6).astype(float)
+    counts = np.zeros((len(lines), _LENGTH + 1))
+    counts[:, :6] = np.bincount(owner * 6 + kind, minlength=6 * len(lines)).reshape(-1, 6)
     counts[:-1, _BLANK] -= 1
-    doubled = np.zeros(len(lines))
     if len(points) > 1:
         same = (points[1:] == points[:-1]) & (kind[1:] >= _POINT)
-        doubled = np.bincount(owner[1:][same], minlength=len(lines)).astype(float)
+        counts[:, _DOUBLED] = np.bincount(owner[1:][same], minlength=len(lines))
     words = [x.split() for x in lines]
-    count = np.array([len(w) for w in words], float)
-    distinct = np.array([len(set(w)) for w in words], float)
-    repeats = np.array([sum(map(str.__eq__, w, w[1:])) for w in words], float)
-    size, some = np.maximum(n, 1), np.maximum(count, 1)
+    counts[:, _WORDS] = [len(w) for w in words]
+    counts[:, _DISTINCT] = [len(set(w)) for w in words]
+    counts[:, _REPEATS] = [sum(map(str.__eq__, w, w[1:])) for w in words]
+    counts[:, _LENGTH] = n
+    return counts
+
+
+def _count_long(line: str) -> np.ndarray:
+    """The same of one line, by blocks; words and doubled characters over a border count once."""
+    counts, seen, last, open_word = np.zeros((1, _LENGTH + 1)), set(), None, ""
+    for at in range(0, len(line), _BLOCK):
+        block = line[at : at + _BLOCK]
+        points, kind = _kinds(line[max(0, at - 1) : at + _BLOCK])
+        counts[0, _DOUBLED] += np.count_nonzero((points[1:] == points[:-1]) & (kind[1:] >= _POINT))
+        counts[0, :6] += np.bincount(kind[1 if at else 0 :], minlength=6)
+        words = (open_word + block).split()
+        # the last word may go on in the next block
+        open_word = words.pop() if words and not block[-1].isspace() else ""
+        if at + _BLOCK >= len(line) and open_word:
+            words.append(open_word)
+        seen.update(words)
+        counts[0, _WORDS] += len(words)
+        counts[0, _REPEATS] += sum(map(str.__eq__, words, words[1:])) + bool(words and words[0] == last)
+        last = words[-1] if words else last
+    counts[0, _DISTINCT], counts[0, _LENGTH] = len(seen), len(line)
+    return counts
+
+
+def _binned(counts: np.ndarray) -> np.ndarray:
+    n, words = counts[:, _LENGTH], counts[:, _WORDS]
+    size, some = np.maximum(n, 1), np.maximum(words, 1)
     letters = counts[:, _LOWER] + counts[:, _UPPER]
     measures = (
         letters / size, counts[:, _UPPER] / np.maximum(letters, 1), counts[:, _DIGIT] / size, counts[:, _POINT] / size, counts[:, _SYMBOL] / size,
-        counts[:, _BLANK] / size, (n - counts[:, _BLANK]) / some, distinct / some, repeats / some, count, doubled / size, n.astype(float),
+        counts[:, _BLANK] / size, (n - counts[:, _BLANK]) / some, counts[:, _DISTINCT] / some, counts[:, _REPEATS] / some, words, counts[:, _DOUBLED] / size, n,
     )
-    return np.stack([np.searchsorted(e, m, "right") for e, m in zip(EDGES, measures, strict=True)], axis=1).astype(np.uint8), n
+    return np.stack([np.searchsorted(e, m, "right") for e, m in zip(EDGES, measures, strict=True)], axis=1).astype(np.uint8)
 
 
 class Model(NamedTuple):
@@ -292,7 +331,11 @@ def assess(text: Column, model: Model) -> Column:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows whose texts score at least ``threshold``."""
+    """The rows whose texts score at least ``threshold``, with all their columns.
+
+    Null and empty texts are scored as one empty line. Repeated rows are kept or dropped alike, an empty table
+    gives no rows, and columns of any other name are carried along.
+    """
     return where_text(docs, lambda texts: [score(model, x) >= threshold for x in texts], text_col)
 
 
