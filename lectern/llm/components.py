@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     ``max_rounds`` star rounds don't reach the fixed point (each round at least squares the reach).
     """
     pairs = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
-    stars = cut(pairs.mapInArrow(_contract, "u long, v long"))
+    # twice, where the links lie and by node: a node that is linked in many tasks is left with one link
+    stars = cut(pairs.mapInArrow(_contract, "u long, v long").repartition("u").mapInArrow(_contract, "u long, v long"))
     before = None
     for _ in range(max_rounds):
         stars = cut(_small_star(_large_star(stars)))

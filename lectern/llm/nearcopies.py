@@ -41,7 +41,7 @@ GROUP_ROWS = 4096
 BLOCK_SHINGLES = 4_000_000
 _SEEDS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 _PATTERNS = np.array([[b >> i & 1 for i in range(WEAK_BITS)] for b in range(1 << WEAK_BITS)])
-_KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "node", "check_a", "check_b")])
+_KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "label", "check_a", "check_b")])
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
@@ -93,19 +93,23 @@ def _fingerprinted(shingle: int):  # noqa: ANN202
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every key of every class, with the bits to compare."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            marks = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            check = np.ascontiguousarray(marks[:, : CHECK_BITS // 8]).view(np.int64)
-            found = np.ascontiguousarray(marks[:, CHECK_BITS // 8 :]).view("<u2").reshape(part.num_rows, SEGMENTS // 2, 2, CODES).astype(np.int64)
-            keys = found[:, :, 0, :, None] << 12 | found[:, :, 1, None, :] | (np.arange(SEGMENTS // 2) << 24)[None, :, None, None]
-            keys = keys.reshape(part.num_rows, -1)
-            node, width = part.column(0).to_numpy(), keys.shape[1]
-            columns = (keys.ravel(), *(np.repeat(x, width) for x in (node, check[:, 0], check[:, 1])))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_KEYS.names)
+def _keyed(pairs: range):  # noqa: ANN202
+    """Every key that some pairs of segments give a class, with its label and the bits to compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                marks = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                check = np.ascontiguousarray(marks[:, : CHECK_BITS // 8]).view(np.int64)
+                found = np.ascontiguousarray(marks[:, CHECK_BITS // 8 :]).view("<u2").reshape(part.num_rows, SEGMENTS // 2, 2, CODES)
+                found = found[:, pairs.start : pairs.stop].astype(np.int64)
+                keys = found[:, :, 0, :, None] << 12 | found[:, :, 1, None, :] | (np.array(pairs) << 24)[None, :, None, None]
+                keys = keys.reshape(part.num_rows, -1)
+                columns = (keys.ravel(), *(np.repeat(x, keys.shape[1]) for x in (part.column(0).to_numpy(), check[:, 0], check[:, 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_KEYS.names)
+
+    return run
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -113,45 +117,51 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _loosely(limit: int):  # noqa: ANN202
-    """Rows sorted by key in; links between rows of a key that may be similar out, and among all of a large group."""
+    """Rows sorted by key in; links between labels of a key that may be similar out, and among all of a large group."""
 
     def near(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= CHECK_MOST
 
+    def starred(label: np.ndarray, hub: int) -> pa.RecordBatch:
+        label = np.unique(label)
+        label = label[label != hub]
+        return _pairs(label, np.full(len(label), hub))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
-        for (key, node, a, b), piece in keyed_groups(batches, limit):
+        for (key, label, a, b), piece in keyed_groups(batches, limit):
             if piece:
-                hub = hub if hub and hub[0] == key[0] else (key[0], node[0])
-                yield _pairs(node, np.full(len(node), hub[1]))
+                hub = hub if hub and hub[0] == key[0] else (key[0], label[0])
+                yield starred(label, hub[1])
                 continue
             # counted as unsigned numbers: of a negative one the absolute value's bits count
             a, b = a.view(np.uint64), b.view(np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             # small groups all at once: every row with the next one, the one after, ...
+            small = np.repeat(sizes <= 8, sizes)
             for step in range(1, 8):
                 i = np.arange(len(key) - step)
-                i = i[key[i] == key[i + step]]
+                i = i[(key[i] == key[i + step]) & small[i]]
                 if not len(i):
                     break
-                i = i[near(i, i + step, a, b)]
-                yield _pairs(node[i], node[i + step])
+                i = i[(label[i] != label[i + step]) & near(i, i + step, a, b)]
+                yield _pairs(label[i], label[i + step])
             for start, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
                 own = slice(start, start + size)
+                names, x, y = label[own], a[own], b[own]
                 if size > limit:
-                    yield _pairs(node[own], np.full(size, node[start]))
+                    yield starred(names, names[0])
+                    continue
+                if (names == names[0]).all():
                     continue
-                forest, x, y, found = Forest(), a[own], b[own], []
+                forest, found = Forest(), []
                 for at in range(0, size, 512):
                     far = np.bitwise_count(x[at : at + 512, None] ^ x[None, :]) + np.bitwise_count(y[at : at + 512, None] ^ y[None, :])
-                    i, j = np.nonzero(far <= CHECK_MOST)
-                    i += at
-                    later = j > i
-                    found += [(p, q) for p, q in zip(i[later].tolist(), j[later].tolist(), strict=True) if forest.union(p, q)]
+                    i, j = np.nonzero((far <= CHECK_MOST) & (names[at : at + 512, None] < names[None, :]))
+                    found += [pair for pair in zip(names[i + at].tolist(), names[j].tolist(), strict=True) if forest.union(*pair)]
                 if found:
-                    i, j = np.array(found).T + start
-                    yield _pairs(node[i], node[j])
+                    yield _pairs(*np.array(found).T)
 
     return run
 
@@ -238,8 +248,15 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Col
 
 
 def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, group_rows: int, block_shingles: int) -> DataFrame:
-    keyed = classes.where("n > 0").select("node", "mark").mapInArrow(_keyed, _KEYS)
-    loose = connected_components(cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_loosely(group_rows), "a long, b long")))
+    def met(labelled: DataFrame, pairs: range) -> DataFrame:
+        keyed = labelled.select("label", "mark").mapInArrow(_keyed(pairs), _KEYS)
+        return cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_loosely(group_rows), "a long, b long"))
+
+    # the first pair of segments joins most of a large group, so that the others need not link it again and again
+    marked = classes.where("n > 0")
+    first = met(marked.withColumn("label", F.col("node")), range(1))
+    labelled = marked.join(connected_components(first), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    loose = connected_components(first.unionByName(met(labelled, range(1, SEGMENTS // 2))))
     members = loose.join(classes.select("node", "n", "least.key_a", "least.key_b"), "node")
     sizes = loose.join(classes.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
