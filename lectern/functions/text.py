@@ -24,6 +24,25 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def running_before(sizes: Column, block: int = 128) -> Column:
+    """For each number of an array the sum of those before it, as longs.
+
+    Sums are made within blocks and then over blocks, as an array that grows is copied at every step.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out"))
+    running = lambda xs: F.aggregate(xs, none, step, lambda a: a["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, n: a + n)
+    count = F.ceil(F.size(sizes) / block).cast("int")
+    blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+
+    def over(parts: Column) -> Column:
+        bases = running(F.transform(parts, total))
+        return let(bases, lambda base: F.flatten(F.transform(parts, lambda xs, b: F.transform(running(xs), lambda n: n + F.get(base, b)))))
+
+    return let(blocks, over)
+
+
 def is_blank(line: Column) -> Column:
     """Nothing but Unicode white space."""
     return ~line.rlike(SOLID)
@@ -47,27 +66,36 @@ def hard_split(tokens: Column, width: int) -> Column:
     return F.flatten(F.transform(tokens, chunks))
 
 
+def _original(line: Column, lowered: Column) -> Column:
+    """The column of a line that a column of the lower-cased line comes from.
+
+    They differ only behind the few letters whose lower case is longer; then prefixes are measured.
+    """
+    behind = F.size(F.filter(F.sequence(F.lit(1), F.length(line)), lambda c: F.length(F.lower(F.substring(line, F.lit(1), c))) <= lowered))
+    return F.when(F.length(F.lower(line)) == F.length(line), lowered).otherwise(behind)
+
+
 def find_first(line: Column, query: str) -> Column:
     """Column of the first case-insensitive occurrence; null if none or for an empty query."""
     at = F.instr(F.lower(line), query.lower())
-    return F.when((at > 0) & F.lit(query != ""), at - 1)
+    return F.when((at > 0) & F.lit(query != ""), _original(line, at - 1))
 
 
 def find_last(line: Column, query: str) -> Column:
     """Column of the last case-insensitive occurrence; null if none or for an empty query."""
     at = F.instr(F.reverse(F.lower(line)), query.lower()[::-1])
-    return F.when((at > 0) & F.lit(query != ""), F.length(line) - (at - 1) - len(query))
+    return F.when((at > 0) & F.lit(query != ""), _original(line, F.length(F.lower(line)) - (at - 1) - len(query.lower())))
 
 
 def find_all(line: Column, query: str) -> Column:
     """Columns of all non-overlapping case-insensitive occurrences, left to right."""
     pieces = F.split(F.lower(line), "(?:" + _quoted(query.lower()) + ")", -1)
-    size = len(query)
+    size = len(query.lower())
     ends = F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"),
         lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + size, F.lit(0)) + F.length(p))),
     )
-    return F.when(F.lit(query == ""), F.array().cast("array<int>")).otherwise(ends)
+    return F.when(F.lit(query == ""), F.array().cast("array<int>")).otherwise(F.transform(ends, lambda at: _original(line, at)))
 
 
 def _quoted(query: str) -> str:
@@ -89,3 +117,9 @@ def run_at(line: Column, col: Column, cls: str) -> tuple[Column, Column]:
 def text_hash(text: Column) -> Column:
     """A document's key: the first 16 hex digits of its MD5, as text."""
     return F.substring(F.md5(F.encode(text, "UTF-8")), 1, 16)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """A struct of the edit ``distance`` of two whole texts and their likeness in ``percent`` of the longer one."""
+    distance = F.levenshtein(a, b)
+    return let(distance, lambda d: F.struct(d.alias("distance"), ((1 - d / F.greatest(F.length(a), F.length(b), F.lit(1))) * 100).alias("percent")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import MARK, WORD, is_blank, lines_of
+from lectern.functions.text import MARK, WORD, is_blank, lines_of, running_before
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -13,16 +13,30 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("line_idx", "line"))
 
 
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One slim row per line: ``doc_id, line_idx, abs_byte, n_bytes``, the byte it starts at and its size. Nothing is shuffled."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.transform(lines_of(F.col(text_col)), lambda x: F.octet_length(x)).alias("sizes"))
+    placed = cut.select("doc_id", F.posexplode(F.arrays_zip("sizes", running_before(F.transform("sizes", lambda n: n.cast("long") + 1)).alias("starts"))).alias("line_idx", "at"))
+    return placed.select("doc_id", "line_idx", F.col("at.starts").alias("abs_byte"), F.col("at.sizes").alias("n_bytes"))
+
+
 def line_relation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: ``doc_id, line_idx, line, abs_byte, n_bytes, n_chars, is_blank``.
 
-    ``abs_byte`` is the byte offset at which the line starts. One shuffle by document sums up the
-    lengths before each line; a window spills, so a document of any number of lines is fine.
+    ``abs_byte`` is the byte offset at which the line starts. The lengths before each line are summed up
+    in the document's row before it is taken apart, so nothing is shuffled.
     """
-    rows = line_rows(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("line"))
-    before = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("n_bytes").cast("long") + 1).over(before), F.lit(0).cast("long"))
-    return rows.select("doc_id", "line_idx", "line", start.alias("abs_byte"), "n_bytes", F.length("line").alias("n_chars"), is_blank(F.col("line")).alias("is_blank"))
+    cut = docs.select(F.col(id_col).alias("doc_id"), lines_of(F.col(text_col)).alias("lines"))
+    starts = running_before(F.transform("lines", lambda x: F.octet_length(x).cast("long") + 1))
+    placed = cut.select("doc_id", F.posexplode(F.arrays_zip("lines", starts.alias("starts"))).alias("line_idx", "at"))
+    line = F.col("at.lines")
+    return placed.select("doc_id", "line_idx", line.alias("line"), F.col("at.starts").alias("abs_byte"), F.octet_length(line).alias("n_bytes"), F.length(line).alias("n_chars"), is_blank(line).alias("is_blank"))
+
+
+def offset_of(lines: Column, line: Column, col: Column) -> Column:
+    """The absolute byte offset of a position of a document's line array."""
+    above = F.aggregate(F.slice(lines, 1, F.greatest(line, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1)
+    return above + F.octet_length(F.substring(F.get(lines, line), F.lit(1), col))
 
 
 def join_lines(lines: DataFrame) -> DataFrame:
@@ -31,16 +45,22 @@ def join_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
+def runs_of(line: Column) -> Column:
+    """A line cut into what is between runs and the runs of word or punctuation characters, by turns."""
+    return F.split(F.regexp_replace(line, f"({WORD}+|{MARK}+)", "\u0000$1\u0000"), "\u0000", -1)
+
+
 def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of word or punctuation characters: ``doc_id, line_idx, word_idx, word, start_char, end_char, kind``."""
-    lines = line_rows(docs, id_col, text_col)
-    runs = F.split(F.regexp_replace("line", f"({WORD}+|{MARK}+)", "\u0000$1\u0000"), "\u0000", -1)
-    sized = lines.select("doc_id", "line_idx", F.posexplode(runs).alias("k", "word"))
-    before = Window.partitionBy("doc_id", "line_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)).cast("int")
-    found = sized.withColumn("start_char", start).where("k % 2 = 1")
-    kind = F.when(F.col("word").rlike(f"^{WORD}"), "word").otherwise("punct")
-    return found.select("doc_id", "line_idx", F.expr("(k - 1) div 2").cast("int").alias("word_idx"), "word", "start_char", (F.col("start_char") + F.length("word")).alias("end_char"), kind.alias("kind"))
+    """One row per run of word or punctuation characters: ``doc_id, line_idx, word_idx, word, start_char, end_char, kind``.
+
+    Starts are summed up in the line's row, so nothing is shuffled.
+    """
+    lines = line_rows(docs, id_col, text_col).select("doc_id", "line_idx", runs_of(F.col("line")).alias("runs"))
+    starts = running_before(F.transform("runs", lambda x: F.length(x).cast("long")))
+    found = lines.select("doc_id", "line_idx", F.posexplode(F.arrays_zip("runs", starts.alias("starts"))).alias("k", "at")).where("k % 2 = 1")
+    word, start = F.col("at.runs"), F.col("at.starts").cast("int")
+    kind = F.when(word.rlike(f"^{WORD}"), "word").otherwise("punct")
+    return found.select("doc_id", "line_idx", F.expr("(k - 1) div 2").cast("int").alias("word_idx"), word.alias("word"), start.alias("start_char"), (start + F.length(word)).alias("end_char"), kind.alias("kind"))
 
 
 def to_offsets(positions: DataFrame, relation: DataFrame) -> DataFrame:

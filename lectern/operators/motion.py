@@ -6,6 +6,8 @@ All take ``lines`` (array of strings), ``line`` and ``col`` (0-based, code point
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def position(line: Column, col: Column) -> Column:
     return F.struct(line.cast("int").alias("line"), col.cast("int").alias("col"))
 
 
+def each(cursors: Column, motion: Callable[[Column, Column], Column]) -> Column:
+    """A motion of every cursor of an array of ``line, col`` structs: the array of where they end.
+
+    A document with many cursors keeps them in its row, so its lines are there once and not once a cursor.
+    """
+    return F.transform(cursors, lambda at: motion(at["line"], at["col"]))
+
+
 def _from(text: Column, col: Column) -> Column:
     return F.substring(text, col + 1, F.length(text))
 

@@ -52,6 +52,11 @@ def removed_by(highlights: DataFrame, ranges: DataFrame, bin_size: int = BIN) ->
     return _touched(highlights, ranges, "left_semi", bin_size)
 
 
+def cleared(highlights: DataFrame, docs: DataFrame) -> DataFrame:
+    """The highlights of all documents but those that ``docs`` (``doc``) names."""
+    return highlights.join(docs.select("doc"), "doc", "left_anti")
+
+
 def in_range(highlights: DataFrame, start: int, end: int) -> DataFrame:
     """The highlights that overlap one range, in any document."""
     return highlights.where((F.col("start") < end) & (F.col("end") > start))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.functions.text import lines_of, running_before
 
 #: The programs a command may name.
 ALLOWED = (
@@ -28,55 +34,68 @@ def command_allowed(command: Column) -> Column:
     return F.coalesce(listed & ~bad & (F.size(parts) <= MAX_ARGUMENTS), F.lit(False))
 
 
+def matches(line: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether a line matches a regular expression."""
+    return line.rlike(("(?i)" if ignore_case else "") + pattern)
+
+
 def grep(lines: DataFrame, pattern: str, ignore_case: bool = False, invert: bool = False) -> DataFrame:
     """Lines that match a regular expression, or don't."""
-    hit = F.col("line").rlike(("(?i)" if ignore_case else "") + pattern)
+    hit = matches(F.col("line"), pattern, ignore_case)
     return lines.where(~hit if invert else hit)
 
 
-def nl(lines: DataFrame) -> DataFrame:
-    """Lines with 1-based numbers, blank ones unnumbered."""
-    w = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
-    solid = F.col("line") != ""
-    return lines.withColumn("number", F.when(solid, F.sum(solid.cast("int")).over(w)))
+def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), lines_of(F.col(text_col)).alias("lines"))
+
+
+def nl(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines with 1-based numbers, empty ones unnumbered: ``doc_id, line_idx, line, number``. Nothing is shuffled."""
+    numbers = running_before(F.transform("lines", lambda x: (x != "").cast("long")))
+    placed = _cut(docs, id_col, text_col).select("doc_id", F.posexplode(F.arrays_zip("lines", numbers.alias("before"))).alias("line_idx", "at"))
+    line = F.col("at.lines")
+    return placed.select("doc_id", "line_idx", line.alias("line"), F.when(line != "", F.col("at.before") + 1).alias("number"))
 
 
-def head(lines: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` lines of every document."""
-    return lines.where(F.col("line_idx") < n)
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, line_idx, line, n_lines``: lines that know how many their document has."""
+    return _cut(docs, id_col, text_col).select("doc_id", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("line_idx", "line")).select("doc_id", "line_idx", "line", "n_lines")
 
 
-def tail(lines: DataFrame, n: int = 10) -> DataFrame:
-    """The last ``n`` lines of every document."""
-    last = F.max("line_idx").over(Window.partitionBy("doc_id"))
-    return lines.withColumn("_last", last).where(F.col("line_idx") > F.col("_last") - n).drop("_last")
+def in_head(n: int = 10) -> Column:
+    """Whether a row of :func:`numbered` is one of its document's first ``n`` lines."""
+    return F.col("line_idx") < n
 
 
-def uniq(lines: DataFrame) -> DataFrame:
-    """Runs of equal adjacent lines: ``doc_id, line_idx`` of the first, ``line`` and ``n``."""
-    w = Window.partitionBy("doc_id").orderBy("line_idx")
-    fresh = (~F.col("line").eqNullSafe(F.lag("line").over(w))).cast("int")
-    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = lines.withColumn("_new", fresh).withColumn("_run", run).groupBy("doc_id", "_run")
-    return runs.agg(F.min("line_idx").alias("line_idx"), F.first("line").alias("line"), F.count("*").alias("n")).drop("_run")
+def in_tail(n: int = 10) -> Column:
+    """Whether a row of :func:`numbered` is one of its document's last ``n`` lines."""
+    return F.col("line_idx") >= F.col("n_lines") - n
 
 
-def cut_field(lines: DataFrame, field: int, delimiter: str = " ") -> DataFrame:
-    """The 1-based field of every line; the whole line if it has no delimiter, empty if too few fields."""
-    parts = F.split("line", "\\Q" + delimiter + "\\E", -1)
-    value = F.when(F.size(parts) == 1, F.col("line")).otherwise(F.coalesce(F.get(parts, F.lit(field - 1)), F.lit("")))
-    return lines.select("doc_id", "line_idx", value.alias("line"))
+def uniq(docs: DataFrame, key: Callable[[Column], Column] = lambda x: x, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Runs of adjacent lines with the same key: ``doc_id, line_idx`` of the first, ``line`` (the key) and ``n``. Nothing is shuffled."""
+    keyed = _cut(docs, id_col, text_col).select("doc_id", F.transform("lines", key).alias("keys"))
+    fresh = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: (i == 0) | (F.get("keys", i) != F.get("keys", i - 1)))
+    runs = keyed.select("doc_id", "keys", fresh.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("keys")))
+    found = F.zip_with("starts", ends, lambda a, b: F.struct(a.alias("line_idx"), F.get("keys", a).alias("line"), (b - a).cast("long").alias("n")))
+    return runs.select("doc_id", F.inline(found))
 
 
-def tr(lines: DataFrame, source: str, target: str) -> DataFrame:
+def field(line: Column, number: int, delimiter: str = " ") -> Column:
+    """The 1-based field of a line; the whole line if it has no delimiter, empty if too few fields."""
+    parts = F.split(line, "\\Q" + delimiter + "\\E", -1)
+    return F.when(F.size(parts) == 1, line).otherwise(F.coalesce(F.get(parts, F.lit(number - 1)), F.lit("")))
+
+
+def tr(line: Column, source: str, target: str) -> Column:
     """Characters replaced one by one."""
-    return lines.withColumn("line", F.translate("line", source, target))
+    return F.translate(line, source, target)
 
 
-def sorted_lines(lines: DataFrame) -> DataFrame:
-    """Every document's lines in byte order: ``doc_id, rank, line``."""
-    w = Window.partitionBy("doc_id").orderBy("line", "line_idx")
-    return lines.select("doc_id", (F.row_number().over(w) - 1).alias("rank"), "line")
+def sorted_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document's lines in byte order: ``doc_id, rank, line``. Sorted in the document's row, so nothing is shuffled."""
+    return _cut(docs, id_col, text_col).select("doc_id", F.posexplode(F.array_sort("lines")).alias("rank", "line"))
 
 
 def wc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,3 +141,13 @@ def translated(command: str) -> str:
             count, words = words[0], words[1:]
         return " ".join(["Get-Content", *words[:1]]) + pieces[""] + count
     return command
+
+
+@F.pandas_udf(T.StringType())
+def _translated(commands: pd.Series) -> pd.Series:
+    return commands.map(translated, na_action="ignore")
+
+
+def translation(command: Column) -> Column:
+    """:func:`translated` of a column of commands; null for null."""
+    return _translated(command)

@@ -93,7 +93,7 @@ def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line and byte column of one absolute offset in every document."""
     docs = documents(spark, sf_dir)
     asked = docs.select("doc_id", (F.col("doc_id") * 37 % (F.octet_length("text") + 1)).cast("long").alias("abs_byte"))
-    found = lines.to_positions(asked, lines.line_relation(docs))
+    found = lines.to_positions(asked, lines.line_index(docs))
     return found.select("doc_id", "abs_byte", F.col("line").cast("long").alias("line"), F.col("byte_col").cast("long").alias("byte_col"))
 
 
@@ -103,9 +103,8 @@ def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def position_to_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The absolute byte offset of every document's cursor."""
-    docs = documents(spark, sf_dir)
-    found = lines.to_offsets(cursors(docs).select("doc_id", "line", "col"), lines.line_relation(docs))
-    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line", "col", "abs_byte")])
+    k = cursors(documents(spark, sf_dir))
+    return k.select("doc_id", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), lines.offset_of(F.col("ls"), F.col("line"), F.col("col")).alias("abs_byte"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
@@ -122,10 +121,22 @@ FROM l WHERE regexp_matches(line, '\S')"""
 )
 def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of word and punctuation characters, counted and digested per line."""
-    runs = lines.word_rows(documents(spark, sf_dir))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ")
-    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
-    return runs.groupBy("doc_id", F.col("line_idx").cast("long").alias("line_idx")).agg(count("word").alias("words"), count("punct").alias("marks"), F.md5(F.encode(said, "UTF-8")).alias("runs_md5"))
+    cut = lines.line_rows(documents(spark, sf_dir)).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), lines.runs_of(F.col("line")).alias("parts"))
+    runs = cut.select("doc_id", "line_idx", F.filter("parts", lambda x, k: k % 2 == 1).alias("runs")).where(F.size("runs") > 0)
+    words = F.size(F.filter("runs", lambda x: x.rlike(f"^{tx.WORD}"))).cast("long")
+    return runs.select("doc_id", "line_idx", words.alias("words"), (F.size("runs") - words).alias("marks"), F.md5(F.encode(F.array_join("runs", " "), "UTF-8")).alias("runs_md5"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_idx, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+r AS (SELECT doc_id, line_idx, list_filter(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+'), lambda x: true) AS ps FROM l),
+w AS (SELECT doc_id, line_idx, generate_subscripts(ps, 1) AS j, unnest(ps) AS word, ps FROM r)
+SELECT doc_id, line_idx, word, CAST(list_sum(list_transform(ps[:j], lambda x: length(x))) - length(word) AS BIGINT) AS start_char, regexp_matches(word, '^[\p{L}\p{N}_]') AS is_word FROM w WHERE regexp_matches(word, '^\S') AND length(word) > 9"""
+)
+def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the runs of ten characters and more are."""
+    found = lines.word_rows(documents(spark, sf_dir)).where(F.length("word") > 9)
+    return found.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "word", F.col("start_char").cast("long").alias("start_char"), (F.col("kind") == "word").alias("is_word"))
 
 
 @query(
@@ -168,8 +179,8 @@ def screen_motions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style|head)\b.*?</(script|style|head)\s*>', '', 'g'), '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/blockquote)\b[^>]*>', chr(10), 'g'),
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?i)<body\b', '</head><body', 'g'), '(?is)<head\b.*?</head\s*>', '', 'g'), '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/blockquote)\b[^>]*>', chr(10), 'g'),
   '<[^>]*>', '', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&amp;', '&', 'g'), ' ' || chr(10)) AS text FROM pages"""
 )
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:

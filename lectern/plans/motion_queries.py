@@ -70,6 +70,38 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *at(F.col("s"), "next"), *at(F.col("e"), "end"))
 
 
+#: Sixty cursors in every document.
+_MANY = 60
+_MANY_SQL = f"""d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, ls, CAST(len(ls) AS BIGINT) AS n, CAST(unnest(range(0, {_MANY})) AS BIGINT) AS c FROM d),
+e AS (SELECT *, (doc_id + c * 7) % n AS line, ls[(doc_id + c * 7) % n + 1] AS cur FROM c),
+k AS (SELECT *, CASE WHEN length(cur) = 0 THEN 0 ELSE (c * 13) % length(cur) END AS col FROM e)"""
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, ls, cursors``: sixty cursors in each document's row."""
+    cut = documents(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("ls"))
+
+    def cursor(c: Column) -> Column:
+        line = ((F.col("doc_id") + c * 7) % F.size("ls")).cast("int")
+        size = F.length(F.get("ls", line))
+        return F.struct(line.alias("line"), F.when(size == 0, 0).otherwise(c * 13 % F.greatest(size, F.lit(1))).cast("int").alias("col"))
+
+    return cut.withColumn("cursors", F.transform(F.sequence(F.lit(0), F.lit(_MANY - 1)), cursor))
+
+
+@query(
+    rf"""WITH {_MANY_SQL}, {_NEXT}, w AS (SELECT *, col + length(regexp_extract(substring(cur, col + 1), '^(?:{W}+|{P}+)?\s*')) AS s FROM ns)
+SELECT doc_id, c, line, col, CASE WHEN s >= length(cur) AND line + 1 < n THEN ns_line ELSE line END AS to_line, CASE WHEN s >= length(cur) AND line + 1 < n THEN ns_col ELSE s END AS to_col FROM w"""
+)
+def word_forward_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the next word from sixty cursors in every document."""
+    k = _many(spark, sf_dir)
+    moved = k.select("doc_id", "cursors", motion.each(F.col("cursors"), lambda line, col: motion.word_forward(F.col("ls"), line, col)).alias("to"))
+    rows = moved.select("doc_id", F.posexplode(F.arrays_zip("cursors", "to")).alias("c", "x"))
+    return rows.select("doc_id", F.col("c").cast("long").alias("c"), *longs(F.col("x.cursors"), "", "line", "col"), *longs(F.col("x.to"), "to_", "line", "col"))
+
+
 _BLANKS = r"fl AS (SELECT *, list_transform(ls, lambda x: NOT regexp_matches(x, '\S')) AS b FROM k)"
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import lines, spans, state, tools, viewport
 from lectern.plans.registry import documents, longs, query, table
+from lectern.session import shared_folder
+from lectern.sources import logs
 
 #: Line items as highlights: document, start below a thousand, length by quantity.
 _H = "h AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS BIGINT) AS e FROM lineitem)"
-_R = "r AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey * 13 % 1000 AS rs, l_suppkey * 13 % 1000 + 120 AS re FROM lineitem WHERE l_linenumber = 1)"
+_R = "r AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey * 13 % 1000 AS rs, l_suppkey * 13 % 1000 + 120 AS re FROM lineitem)"
 
 
 def _highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +25,7 @@ def _highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_suppkey") * 13 % 1000
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("doc"), start.alias("r_start"), (start + 120).alias("r_end")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), start.alias("r_start"), (start + 120).alias("r_end")).distinct()
 
 
 @query('WITH a AS (SELECT l_orderkey AS doc, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS BIGINT) AS e FROM lineitem) SELECT doc, s AS "start", e AS "end", min(n) AS seen FROM (SELECT *, 1 AS n FROM a) GROUP BY ALL')
@@ -95,7 +99,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     i = F.col("doc_id")
     trio = F.array(*[F.struct(s.cast("long").alias("start"), e.cast("long").alias("end")) for s, e in ((i % 97, i % 97 + 60), (i % 31 + 40, i % 31 + 90), (F.lit(400), F.lit(900)))])
     rows = docs.select(i.alias("doc"), F.explode(trio).alias("h")).select("doc", "h.start", "h.end")
-    return lines.line_relation(docs).withColumnRenamed("doc_id", "doc"), rows
+    return lines.line_index(docs).withColumnRenamed("doc_id", "doc"), rows
 
 
 @query(
@@ -225,7 +229,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH c AS (SELECT doc_id, (['ls', 'cat', 'rm', 'grep -i', 'Get-Content', 'sudo'])[doc_id % 6 + 1] || ' ' || left(replace(text, chr(10), ' '), 60) || (['', ' | wc', ' $HOME', ' a;b'])[doc_id % 4 + 1] AS cmd FROM documents WHERE text IS NOT NULL),
+    rf"""WITH c AS (SELECT doc_id, (['ls', 'cat', 'rm', 'grep -i', 'Get-Content', 'sudo'])[doc_id % 6 + 1] || ' ' || CASE WHEN doc_id % 5 < 3 THEN lang ELSE replace(text, chr(10), ' ') END || (['', ' | wc', ' $HOME', ' a;b'])[doc_id % 4 + 1] AS cmd FROM documents WHERE text IS NOT NULL),
 p AS (SELECT *, list_filter(regexp_split_to_array(cmd, '\s+'), lambda x: x <> '') AS ps FROM c)
 SELECT doc_id, ps[1] IN ({_ALLOWED}) AND len(ps) <= 50 AND len(list_filter(ps[2:], lambda x: regexp_matches(x, '[|&;`$()<>\\*?]') OR strlen(x) > 1000)) = 0 AS allowed FROM p"""
 )
@@ -233,32 +237,29 @@ def command_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which command lines made from documents pass the guard."""
     i = F.col("doc_id")
     pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (i % len(xs)).cast("int"))
-    cmd = F.concat(pick("ls", "cat", "rm", "grep -i", "Get-Content", "sudo"), F.lit(" "), F.expr("left(replace(text, '\n', ' '), 60)"), pick("", " | wc", " $HOME", " a;b"))
+    cmd = F.concat(pick("ls", "cat", "rm", "grep -i", "Get-Content", "sudo"), F.lit(" "), F.when(i % 5 < 3, F.col("lang")).otherwise(F.replace("text", F.lit("\n"), F.lit(" "))), pick("", " | wc", " $HOME", " a;b"))
     return documents(spark, sf_dir).select("doc_id", tools.command_allowed(cmd).alias("allowed"))
 
 
 @query(f"WITH {_L} SELECT doc_id, line_idx, regexp_matches(line, 'th.r') AS hit, regexp_matches(line, '(?i)THE\\s') AS hit_any_case FROM l WHERE regexp_matches(line, 'th.r') OR regexp_matches(line, '(?i)THE\\s')")
 def tool_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that match patterns."""
-    rows = _lines(spark, sf_dir)
-    first = tools.grep(rows, "th.r").select("doc_id", "line_idx", F.lit(True).alias("hit"))
-    second = tools.grep(rows, r"THE\s", ignore_case=True).select("doc_id", "line_idx", F.lit(True).alias("hit_any_case"))
-    both = first.join(second, ["doc_id", "line_idx"], "full")
-    return both.select("doc_id", "line_idx", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("hit_any_case", F.lit(False)).alias("hit_any_case"))
+    line = F.col("line")
+    both = _lines(spark, sf_dir).select("doc_id", "line_idx", tools.matches(line, "th.r").alias("hit"), tools.matches(line, r"THE\s", ignore_case=True).alias("hit_any_case"))
+    return both.where("hit or hit_any_case")
 
 
 @query(f"WITH {_L} SELECT doc_id, line_idx, CASE WHEN line <> '' THEN count(CASE WHEN line <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY line_idx) END AS number FROM l")
 def tool_nl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of lines that aren't empty."""
-    return tools.nl(_lines(spark, sf_dir)).select("doc_id", "line_idx", "number")
+    return tools.nl(documents(spark, sf_dir)).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "number")
 
 
 @query(f"WITH {_L} SELECT doc_id, line_idx, line_idx < 3 AS in_head, line_idx >= n - 3 AS in_tail FROM l WHERE line_idx < 3 OR line_idx >= n - 3")
 def tool_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the last three lines."""
-    rows = _lines(spark, sf_dir)
-    both = tools.head(rows, 3).select("doc_id", "line_idx", F.lit(True).alias("in_head")).join(tools.tail(rows, 3).select("doc_id", "line_idx", F.lit(True).alias("in_tail")), ["doc_id", "line_idx"], "full")
-    return both.select("doc_id", "line_idx", F.coalesce("in_head", F.lit(False)).alias("in_head"), F.coalesce("in_tail", F.lit(False)).alias("in_tail"))
+    both = tools.numbered(documents(spark, sf_dir)).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), tools.in_head(3).alias("in_head"), tools.in_tail(3).alias("in_tail"))
+    return both.where("in_head or in_tail")
 
 
 @query(
@@ -268,21 +269,21 @@ SELECT doc_id, min(line_idx) AS line_idx, first(word) AS line, count(*) AS n FRO
 )
 def tool_uniq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of lines with the same first word."""
-    return tools.uniq(_lines(spark, sf_dir).withColumn("line", F.regexp_extract("line", r"^\S*", 0)))
+    found = tools.uniq(documents(spark, sf_dir), lambda x: F.regexp_extract(x, r"^\S*", 0))
+    return found.withColumn("line_idx", F.col("line_idx").cast("long"))
 
 
 @query(f"WITH {_L} SELECT doc_id, line_idx, CASE WHEN strpos(line, ' ') = 0 THEN line ELSE coalesce(string_split(line, ' ')[2], '') END AS field, translate(line, 'aeiou', '12345') AS translated FROM l")
 def tool_cut_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second fields, and vowels as digits."""
-    rows = _lines(spark, sf_dir)
-    fields = tools.cut_field(rows, 2).withColumnRenamed("line", "field")
-    return fields.join(tools.tr(rows, "aeiou", "12345").withColumnRenamed("line", "translated"), ["doc_id", "line_idx"])
+    line = F.col("line")
+    return _lines(spark, sf_dir).select("doc_id", "line_idx", tools.field(line, 2).alias("field"), tools.tr(line, "aeiou", "12345").alias("translated"))
 
 
 @query(f"WITH {_L} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, line_idx) - 1 AS rank, line FROM l")
 def tool_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines in byte order."""
-    return tools.sorted_lines(_lines(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return tools.sorted_lines(documents(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS lines, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
@@ -291,15 +292,91 @@ def tool_wc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.wc(documents(spark, sf_dir))
 
 
+def _plain(column: str) -> Column:
+    return F.regexp_replace(column, r"[^\x00-\x7F]", "?")
+
+
+def _ascii(column: str) -> str:
+    """SQL for a text with a question mark for every character beyond ASCII, as DuckDB's edit distance counts bytes."""
+    return f"regexp_replace({column}, '[^\\x00-\\x7F]', '?', 'g')"
+
+
 @query(
-    """SELECT page_id, lower(regexp_extract(url, '\\.([^./\\\\]*)$', 1)) AS ext, NOT regexp_matches(url, '[|&;`$<>\\n\\r]') AS path_ok,
-  CAST(levenshtein(left(url, 30), left(html, 30)) AS BIGINT) AS distance, regexp_matches(html, '\\S') AS has_content FROM pages"""
+    f"""SELECT page_id, lower(regexp_extract(url, '\\.([^./\\\\]*)$', 1)) AS ext, NOT regexp_matches(url, '[|&;`$<>\\n\\r]') AS path_ok,
+  CAST(levenshtein({_ascii('url')}, {_ascii('html')}) AS BIGINT) AS distance, regexp_matches(html, '\\S') AS has_content FROM pages"""
 )
 def source_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extensions, path guards, content guards and edit distances of pages."""
     from lectern.sources.files import extension, path_allowed
 
-    left = lambda c: F.expr(f"left({c}, 30)")
     return table(spark, sf_dir, "pages").select(
-        "page_id", extension(F.col("url")).alias("ext"), path_allowed(F.col("url")).alias("path_ok"), F.levenshtein(left("url"), left("html")).cast("long").alias("distance"), (~tx.is_blank(F.col("html"))).alias("has_content")
+        "page_id", extension(F.col("url")).alias("ext"), path_allowed(F.col("url")).alias("path_ok"), F.levenshtein(_plain("url"), _plain("html")).cast("long").alias("distance"), (~tx.is_blank(F.col("html"))).alias("has_content")
     )
+
+
+@query(f"WITH {_H} SELECT doc, s AS \"start\", e AS \"end\" FROM h WHERE doc NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def highlight_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights left after those of all finished orders were cleared."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"))
+    return spans.cleared(_highlights(spark, sf_dir), done)
+
+
+_COMMANDS = "c AS (SELECT page_id, (['ls -l ', 'cat ', 'head -n5 ', 'tail ', 'pwd #', 'make ', 'grep -i a '])[page_id % 7 + 1] || replace(coalesce(url, ''), ' ', '') AS cmd FROM pages)"
+
+
+@query(
+    f"""WITH {_COMMANDS}, p AS (SELECT page_id, page_id % 7 AS k, cmd, list_filter(regexp_split_to_array(cmd, '\\s+'), lambda x: x <> '')[-1] AS arg FROM c)
+SELECT page_id, CASE k WHEN 0 THEN 'Get-ChildItem' || CASE WHEN arg <> '-l' THEN ' -Path ' || arg ELSE '' END || ' | Format-Table Mode, LastWriteTime, Length, Name'
+  WHEN 1 THEN 'Get-Content' || CASE WHEN arg <> 'cat' THEN ' ' || arg ELSE '' END WHEN 2 THEN 'Get-Content' || CASE WHEN arg <> '-n5' THEN ' ' || arg ELSE '' END || ' -First 5'
+  WHEN 3 THEN 'Get-Content' || CASE WHEN arg <> 'tail' THEN ' ' || arg ELSE '' END || ' -Tail 10' WHEN 4 THEN 'Get-Location'
+  WHEN 6 THEN CASE WHEN arg = 'a' THEN 'Select-String' ELSE 'Select-String -Pattern "a" -Path "' || arg || '" -CaseSensitive:$false' END ELSE cmd END AS translated FROM p"""
+)
+def command_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands on page addresses and their PowerShell counterparts."""
+    name = F.get(F.array(*map(F.lit, ("ls -l ", "cat ", "head -n5 ", "tail ", "pwd #", "make ", "grep -i a "))), (F.col("page_id") % 7).cast("int"))
+    command = F.concat(name, F.replace(F.coalesce("url", F.lit("")), F.lit(" "), F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", tools.translation(command).alias("translated"))
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, {_ascii('text')} AS text FROM benchmark), p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS next FROM b)
+SELECT item_id, CAST(levenshtein(text, next) AS BIGINT) AS distance, round(100 * (1 - levenshtein(text, next)::DOUBLE / greatest(length(text), length(next), 1)), 6) AS percent FROM p WHERE next IS NOT NULL"""
+)
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of every benchmark text to the next one, whole, and the similarity in per cent."""
+    # the benchmark is a fixed list of items, whatever the corpus
+    after = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("next")).where("next is not null")
+    found = after.select("item_id", tx.similarity(_plain("text"), _plain("next")).alias("s"))
+    return found.select("item_id", F.col("s.distance").cast("long").alias("distance"), F.round("s.percent", 6).alias("percent"))
+
+
+# --- stored state, written and read back --------------------------------------------------------------
+
+
+def _kept(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_PG} SELECT CAST(doc AS VARCHAR) AS doc, epoch_us(ts) AS ts_us, o AS \"offset\", round(CAST(o AS DOUBLE) / 600 * 100, 6) AS percentage, vo AS viewport_offset, cy AS cursor_y FROM p")
+def progress_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All progress events appended to the log and read back."""
+    path = _kept(spark)
+    logs.write_progress(_progress(spark, sf_dir), path)
+    return logs.read_progress(spark, path).select("doc", F.unix_micros("ts").alias("ts_us"), "offset", F.round("percentage", 6).alias("percentage"), "viewport_offset", "cursor_y")
+
+
+@query(f"WITH {_MK} SELECT CAST(doc AS VARCHAR) AS doc, mark, arg_max(line, {{'t': ts, 's': seq}}) AS line, arg_max(col, {{'t': ts, 's': seq}}) AS col FROM m WHERE regexp_matches(mark, '^[a-z]$') GROUP BY doc, mark")
+def bookmark_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last marks of every document, stored a file each and read back."""
+    path = _kept(spark)
+    logs.write_bookmarks(state.latest_marks(_marks(spark, sf_dir)).select(F.col("doc").cast("string").alias("doc"), "mark", "line", "col"), path)
+    return logs.read_bookmarks(spark, f"{path}/*").select(F.regexp_extract("file", "/doc=([^/]*)/", 1).alias("doc"), "mark", "line", "col")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS doc, event_id % 1000 AS \"start\", event_id % 1000 + 1 + CAST(floor(value) AS BIGINT) % 40 AS \"end\", event_id AS created_at FROM events")
+def highlight_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights of every user, stored a file each and read back."""
+    path, start = _kept(spark), F.col("event_id") % 1000
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("doc"), start.alias("start"), (start + 1 + F.floor("value") % 40).alias("end"), F.col("event_id").alias("created_at"))
+    logs.write_highlights(rows, path)
+    return logs.read_highlights(spark, f"{path}/*")

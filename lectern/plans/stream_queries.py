@@ -43,7 +43,7 @@ def stream_progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that moved to another block of fifty lines, told apart by a stream."""
     block = F.floor(F.floor("value") / 50)
     e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("doc"), "ts", F.col("event_id").alias("seq"), block.alias("offset"), F.lit(0).cast("long").alias("viewport_offset"))
-    moved = stream.drained(stream.changes(e), _folder(spark), "append")
+    moved = stream.drained(stream.changes(e), _folder(spark), "update", ("doc", "seq")).where("changed")
     return moved.select("seq", F.col("doc").cast("long").alias("doc"), F.col("offset").alias("block"))
 
 
@@ -52,7 +52,7 @@ def stream_highlight_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highlights left after every user's toggles, kept by a stream."""
     start = F.col("event_id") % 1000
     e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("doc"), "ts", F.col("event_id").alias("seq"), start.alias("start"), (start + 1 + F.floor("value") % 40).alias("end"))
-    kept = stream.drained(stream.toggled(e), _folder(spark), "update")
+    kept = stream.drained(stream.toggled(e), _folder(spark), "update", ("doc",))
     return kept.select(F.col("doc").cast("long").alias("doc"), F.explode(F.arrays_zip("starts", "ends")).alias("h")).select("doc", F.col("h.starts").alias("start"), F.col("h.ends").alias("end"))
 
 

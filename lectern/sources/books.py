@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import posixpath
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -27,14 +29,21 @@ def _named(tree: ElementTree.Element, name: str) -> Iterator[ElementTree.Element
 
 
 def spine(content: bytes) -> list[tuple[int, str, str]]:
-    """``(spine_idx, href, xhtml)`` of a book in reading order; resources that are missing are skipped."""
+    """``(spine_idx, href, xhtml)`` of a book in reading order; resources that are missing are skipped.
+
+    Raises BookError for anything that isn't a book, and for one with a damaged or encrypted member.
+    """
     try:
-        book = zipfile.ZipFile(io.BytesIO(content))
-        root = ElementTree.fromstring(book.read("META-INF/container.xml"))
-        package = next(_named(root, "rootfile")).attrib["full-path"]
-        opf = ElementTree.fromstring(book.read(package))
-    except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
-        raise BookError(f"not a readable book: {e}") from e
+        return _spine(content)
+    except (zipfile.BadZipFile, zlib.error, EOFError, LookupError, RuntimeError, NotImplementedError, ElementTree.ParseError, UnicodeError, struct.error) as e:
+        raise BookError(f"not a readable book: {type(e).__name__}: {e}") from e
+
+
+def _spine(content: bytes) -> list[tuple[int, str, str]]:
+    book = zipfile.ZipFile(io.BytesIO(content))
+    root = ElementTree.fromstring(book.read("META-INF/container.xml"))
+    package = [x.attrib["full-path"] for x in _named(root, "rootfile")][0]
+    opf = ElementTree.fromstring(book.read(package))
     files = {x.attrib.get("id"): x.attrib.get("href", "") for x in _named(opf, "item")}
     out = []
     for k, ref in enumerate(_named(opf, "itemref")):

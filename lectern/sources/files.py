@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import re
 import shutil
+import sys
 from collections.abc import Callable, Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.sources.books import BookError, book_text
+from lectern.sources.html import to_text
+from lectern.sources.pdf import pdf_text
 
 #: Characters no path may hold.
 FORBIDDEN = "\0|&;`$<>\n\r"
@@ -60,9 +64,13 @@ def _plain(content: bytes) -> str:
     return content.decode("utf-8")
 
 
-#: Extractors by extension; a PDF or office extractor is added by the caller, as none is built in.
-EXTRACTORS: dict[str, Extractor] = {"epub": book_text}
-FALLBACK: tuple[Extractor, ...] = (book_text, _plain)
+def _page(content: bytes) -> str:
+    return to_text(content.decode("utf-8", "replace")) or ""
+
+
+#: Extractors by extension; those of office and scanned documents are added by the caller, as none is built in.
+EXTRACTORS: dict[str, Extractor] = {"epub": book_text, "pdf": pdf_text, "html": _page, "htm": _page, "xhtml": _page}
+FALLBACK: tuple[Extractor, ...] = (pdf_text, book_text, _plain)
 
 
 def extract(path: str, content: bytes, extractors: dict[str, Extractor] | None = None) -> tuple[str | None, str | None]:
@@ -106,3 +114,29 @@ def non_empty(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``path, text``."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def piped_text(spark: SparkSession, stream: IO[bytes] | None = None, path: str | None = None) -> DataFrame:
+    """``path, text`` of what is piped in (``-``), which wins over a file; nothing piped in and no path gives no row.
+
+    ``stream`` is standard input unless given; a terminal counts as nothing. One text is a driver's own
+    input and is read there.
+    """
+    stream = sys.stdin.buffer if stream is None else stream
+    content = b"" if stream.isatty() else stream.read()
+    if content:
+        return spark.createDataFrame([("-", content.decode("utf-8", "replace"))], "path string, text string")
+    return read_text(spark, path) if path else spark.createDataFrame([], "path string, text string")
+
+
+def piped_lines(spark: SparkSession, stream: IO[bytes] | None = None, path: str | None = None) -> DataFrame:
+    """The lines of :func:`piped_text`: ``path, line_idx, line``, without the empty one after a last line feed."""
+    text = F.regexp_replace("text", r"\r?\n\z", "")
+    return piped_text(spark, stream, path).select("path", F.posexplode(F.split(text, r"\r?\n", -1)).alias("line_idx", "line"))
+
+
+def list_files(spark: SparkSession, path: str, name: str = "*") -> DataFrame:
+    """``path, name, ext, length, modified`` of all files under a path whose names fit a pattern. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path)
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.select("path", base.alias("name"), extension(F.col("path")).alias("ext"), "length", F.col("modificationTime").alias("modified"))

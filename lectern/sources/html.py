@@ -12,13 +12,17 @@ from pyspark.sql import types as T
 
 #: Tags that end a line, tags whose content is no text.
 BLOCKS = ("br", "p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "section", "aside", "article", "ul", "ol", "table", "header", "footer", "pre", "hr")
-HIDDEN = ("script", "style", "head", "template", "noscript")
+HIDDEN = ("script", "style", "template", "noscript", "title")
+#: Tags that a page's head may hold; any other one ends it, closed or not.
+IN_HEAD = ("html", "head", "title", "meta", "link", "base", "script", "style", "template", "noscript")
 
 
 def strip_tags(html: Column) -> Column:
     """Comments, scripts, styles and tags removed, block ends as line feeds, the basic entities decoded."""
     steps = (
-        (r"(?is)<!--.*?-->", ""), (r"(?is)<(script|style|head)\b.*?</(script|style|head)\s*>", ""),
+        (r"(?is)<!--.*?-->", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""),
+        # a head that is never closed ends where the body begins
+        (r"(?i)<body\b", "</head><body"), (r"(?is)<head\b.*?</head\s*>", ""),
         (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/blockquote)\b[^>]*>", "\n"), (r"<[^>]*>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
     )
     for pattern, to in steps:
@@ -31,8 +35,10 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.hidden = 0
+        self.head = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.head = tag == "head" or (self.head and tag in IN_HEAD)
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "li":
@@ -41,13 +47,14 @@ class _Text(HTMLParser):
             self.parts.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
+        self.head = self.head and tag != "head"
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.head:
             self.parts.append(" ".join(data.split()) and (" " * data[:1].isspace() + " ".join(data.split()) + " " * data[-1:].isspace()) or " ")
 
 

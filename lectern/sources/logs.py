@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lectern import schema
 
 
+#: Times keep their microseconds.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def read_progress(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Progress events: ``ts, doc, offset, total_lines, percentage, viewport_offset, cursor_y, seq``.
 
@@ -31,10 +35,10 @@ def write_progress(events: DataFrame, path: str) -> None:
     have = lambda c: F.col(c).cast("long") if c in events.columns else F.lit(None).cast("long")
     percentage = F.try_divide(F.col("offset").cast("double"), F.col("total_lines").cast("double")) * 100
     body = F.struct(
-        F.col("ts").alias("timestamp"), F.col("doc").cast("decimal(20,0)").alias("document_hash"), "offset", "total_lines", percentage.alias("percentage"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("doc").cast("decimal(20,0)").alias("document_hash"), "offset", "total_lines", percentage.alias("percentage"),
         have("viewport_offset").alias("viewport_offset"), have("cursor_y").alias("cursor_y"),
     )
-    events.select(body.alias("UpdateProgress")).write.mode("append").option("ignoreNullFields", "false").json(path)
+    events.select(body.alias("UpdateProgress")).write.mode("append").option("ignoreNullFields", "false").option("timestampFormat", _TIME).json(path)
 
 
 def _read_json(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -240,5 +240,64 @@ def test_translation(command, want):
 
 
 def test_uniq_counts_adjacent_lines(spark):
-    rows = lines.line_rows(spark.createDataFrame([(1, "a\na\nb\na")], "doc_id long, text string"))
-    assert [(r.line_idx, r.line, r.n) for r in tools.uniq(rows).orderBy("line_idx").collect()] == [(0, "a", 2), (2, "b", 1), (3, "a", 1)]
+    docs = spark.createDataFrame([(1, "a\na\nb\na"), (2, ""), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.line_idx, r.line, r.n) for r in tools.uniq(docs).orderBy("doc_id", "line_idx").collect()] == [(1, 0, "a", 2), (1, 2, "b", 1), (1, 3, "a", 1), (2, 0, "", 1)]
+
+
+def test_tools_in_the_row(spark):
+    docs = spark.createDataFrame([(1, "b\n\na\nc"), (2, None)], "doc_id long, text string")
+    assert [(r.line_idx, r.number) for r in tools.nl(docs).orderBy("line_idx").collect()] == [(0, 1), (1, None), (2, 2), (3, 3)]
+    assert [r.line for r in tools.sorted_lines(docs).orderBy("rank").collect()] == ["", "a", "b", "c"]
+    rows = tools.numbered(docs).select("line", tools.in_head(1).alias("h"), tools.in_tail(1).alias("t")).collect()
+    assert [(r.line, r.h, r.t) for r in rows if r.h or r.t] == [("b", True, False), ("c", False, True)]
+    assert one(spark, tools.translation(F.col("c")), c="ls /tmp") == tools.translated("ls /tmp")
+
+
+def test_running_sums_over_blocks(spark):
+    sizes = [k * 7 % 5 for k in range(700)]
+    rows = spark.createDataFrame([(sizes,), ([],), ([3],)], "x array<bigint>")
+    want = [sum(sizes[:k]) for k in range(700)]
+    for block in (1, 128, 1000):
+        assert [r.s for r in rows.select(tx.running_before(F.col("x"), block).alias("s")).collect()] == [want, [], [0]]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_line_plans_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id long, text string")
+    for df in (lines.line_relation(docs), lines.line_index(docs), lines.word_rows(docs), tools.nl(docs), tools.uniq(docs), tools.sorted_lines(docs), tools.numbered(docs)):
+        assert _exchanges(df) == 0 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_columns_are_the_lines_own(spark):
+    """Letters whose lower case is longer don't shift what follows them."""
+    assert one(spark, tx.find_first(F.col("t"), "the"), t="İİ the") == 3 == one(spark, tx.find_last(F.col("t"), "THE"), t="İİ the")
+    assert one(spark, tx.find_all(F.col("t"), "the"), t="the İ theİthe") == [0, 6, 10]
+
+
+def test_many_cursors_in_a_row(spark):
+    docs = spark.createDataFrame([(["ab cd", "", "ef"], [(0, 0), (0, 3), (2, 0)])], "ls array<string>, c array<struct<line:int,col:int>>")
+    found = docs.select(motion.each(F.col("c"), lambda line, col: motion.word_forward(F.col("ls"), line, col)).alias("to")).first().to
+    assert [(x.line, x.col) for x in found] == [(0, 3), (2, 0), (2, 2)]
+
+
+def test_similarity_of_whole_texts(spark):
+    assert one(spark, tx.similarity(F.lit("kitten"), F.lit("sitting")), x=1) == {"distance": 3, "percent": pytest.approx(100 * (1 - 3 / 7))}
+    assert one(spark, tx.similarity(F.lit(""), F.lit("")), x=1)["percent"] == 100
+
+
+def test_cleared_highlights(spark):
+    have = spark.createDataFrame([(1, 0, 5), (2, 0, 5)], "doc long, start long, end long")
+    assert [r.doc for r in spans.cleared(have, spark.createDataFrame([(1,)], "doc long")).collect()] == [2]
+
+
+def test_shared_folder_is_not_private_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from lectern.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf={}))

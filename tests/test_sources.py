@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import spans
 from lectern.sources import books, files, html, logs
+from lectern.sources.pdf import PdfError, pdf_text
 from lectern.streaming import state as stream
 
 
@@ -123,11 +126,121 @@ def test_streams_agree_with_batch(spark, tmp_path):
     read = lambda: spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     drain(stream.latest_progress(read().select("doc", "ts", "seq", "offset")), "complete", "latest")
     assert {r.doc: r.offset for r in spark.table("latest").collect()} == {"a": 1, "b": 5}
-    drain(stream.changes(read().select("doc", "ts", "seq", "offset", "viewport_offset")), "append", "moves")
-    assert sorted((r.doc, r.seq) for r in spark.table("moves").collect()) == [("a", 0), ("a", 2), ("a", 4), ("b", 1)]
-    drain(stream.toggled(read().select("doc", "ts", "seq", "start", "end")), "update", "toggles")
+    moves = stream.drained(stream.changes(read().select("doc", "ts", "seq", "offset", "viewport_offset")), str(tmp_path / "moves"), "update", ("doc", "seq"))
+    assert sorted((r.doc, r.seq) for r in moves.where("changed").collect()) == [("a", 0), ("a", 2), ("a", 4), ("b", 1)]
+    got = stream.drained(stream.toggled(read().select("doc", "ts", "seq", "start", "end")), str(tmp_path / "toggles"), "update", ("doc",))
+    assert _toggles(got) == _by_batch(batch)
+
+
+def _toggles(df):
+    return {r.doc: sorted(zip(r.starts, r.ends, strict=True)) for r in df.collect() if r.starts}
+
+
+def _by_batch(batch):
     want = {}
     for r in spans.toggled(batch.select("doc", "seq", "start", "end")).collect():
         want.setdefault(r.doc, []).append((r.start, r.end))
-    got = {r.doc: sorted(zip(r.starts, r.ends, strict=True)) for r in spark.table("toggles").collect()}
-    assert {k: sorted(v) for k, v in want.items()} == {k: v for k, v in got.items() if v}
+    return {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("lateness", [stream.LATENESS, 12.0])
+def test_streams_agree_with_batch_over_several_triggers_and_late_rows(spark, tmp_path, lateness):
+    """Rows come in other than time order, a few a trigger; what was put out last is what the batch gives."""
+    rng = random.Random(3)
+    rows = [(f"d{k % 3}", k, k, rng.randint(0, 3), rng.randint(0, 1), s := rng.randint(0, 60), s + rng.randint(1, 15)) for k in range(80)]
+    kind = "doc string, t long, seq long, offset long, viewport_offset long, start long, end long"
+    batch = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("t"))
+    late = sorted(rows, key=lambda r: r[1] + rng.randint(0, 9))
+    for at in range(0, 80, 16):
+        spark.createDataFrame(late[at : at + 16], kind).withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    moves = stream.drained(stream.changes(read().select("doc", "ts", "seq", "offset", "viewport_offset"), lateness), str(tmp_path / "moves"), "update", ("doc", "seq"))
+    last, want = {}, set()
+    for doc, _, seq, offset, view, *_ in rows:
+        want |= {(doc, seq)} if last.get(doc) != (offset, view) else set()
+        last[doc] = (offset, view)
+    assert {(r.doc, r.seq) for r in moves.where("changed").collect()} == want and moves.count() == 80
+    got = stream.drained(stream.toggled(read().select("doc", "ts", "seq", "start", "end"), lateness), str(tmp_path / "toggles"), "update", ("doc",))
+    assert _toggles(got) == _by_batch(batch)
+    with pytest.raises(ValueError):
+        stream.drained(got, str(tmp_path / "x"), "update")
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>t</title><body><p>all the text</p>", "all the text"),
+    ("<html><head><meta charset=x><p>one<p>two", "one\ntwo"),
+    ("<head><script>a</script><title>T</title></head>x", "x"),
+    ("<header>kept</header><style>no</style>", "kept"),
+])
+def test_heads_closed_or_not(spark, page, want):
+    assert html.to_text(page) == want
+    stripped = spark.createDataFrame([(page,)], "h string").select(html.strip_tags(F.col("h")).alias("t")).first().t
+    if "<body" in page or "</head>" in page or "<head>" not in page:
+        assert stripped == want
+
+
+def test_damaged_members_are_errors(spark, tmp_path):
+    whole = bytearray(epub("<p>some words that are stored</p>"))
+    at = whole.index(b"some words")
+    whole[at : at + 4] = b"SOME"
+    (tmp_path / "a.epub").write_bytes(bytes(whole))
+    (tmp_path / "b.epub").write_bytes(epub("<p>fine</p>"))
+    found = {r.path.rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert found["a.epub"].text is None and "BadZipFile" in found["a.epub"].error and found["b.epub"].text == "fine"
+    assert [r.text for r in books.chapter_rows(spark.read.format("binaryFile").load(str(tmp_path))).collect()] == ["fine"]
+
+
+def pdf(*pages: bytes, packed: bool = False, fonts: bytes = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", more: tuple[bytes, ...] = ()) -> bytes:
+    """A small PDF of content streams."""
+    bodies = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages))) + b"] /Resources << /Font << /F1 3 0 R >> >> >>", fonts]
+    for k, page in enumerate(pages):
+        raw = zlib.compress(page) if packed else page
+        bodies.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (5 + 2 * k))
+        bodies.append(b"<< /Length %d%s >>\nstream\n" % (len(raw), b" /Filter /FlateDecode" if packed else b"") + raw + b"\nendstream")
+    bodies += more
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, b) for k, b in enumerate(bodies, 1)) + b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text(spark, tmp_path, packed):
+    one = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) w\\366rld) Tj 0 -14 Td [(sec) -20 (ond) -300 (line)] TJ T* (third) ' ET"
+    two = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm <48692021> Tj 1 0 0 1 72 680 Tm (next) Tj ET"
+    assert pdf_text(pdf(one, two, packed=packed)) == "Hello (big) w\u00f6rld\nsecond line\nthird\n\nHi !\nnext"
+    (tmp_path / "a.pdf").write_bytes(pdf(one, packed=packed))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 nothing in it")
+    (tmp_path / "noext").write_bytes(pdf(two, packed=packed))
+    found = {r.path.rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert found["a.pdf"].text.startswith("Hello (big)") and "PdfError" in found["b.pdf"].error and found["noext"].text == "Hi !\nnext"
+
+
+def test_pdf_character_maps():
+    chart = b"<< /Length 1 >>\nstream\n1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<00E9> <D83DDE00>] endbfrange\nendstream"
+    font = b"<< /Type /Font /Subtype /Type0 /ToUnicode 6 0 R >>"
+    assert pdf_text(pdf(b"BT /F1 9 Tf <0010001100120003002000210099> Tj ET", fonts=font, more=(chart,))) == "ABC \u00e9\U0001f600"
+    for bad in (b"", b"%PDF-1.4", b"%PDF-1.4 trailer << /Encrypt 3 0 R >>"):
+        with pytest.raises(PdfError):
+            pdf_text(bad)
+
+
+def test_piped_input_wins_over_a_file(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("from\nfile\n")
+    path = str(tmp_path / "f.txt")
+    assert [r.text for r in files.piped_text(spark, io.BytesIO(b"piped\r\nin\n"), path).collect()] == ["piped\r\nin\n"]
+    assert [(r.line_idx, r.line) for r in files.piped_lines(spark, io.BytesIO(b"piped\r\nin\n"), path).collect()] == [(0, "piped"), (1, "in")]
+    assert [r.line for r in files.piped_lines(spark, io.BytesIO(b""), path).collect()] == ["from", "file"]
+    assert files.piped_text(spark, io.BytesIO(b"")).count() == 0
+    assert [r.text for r in files.read_text(spark, path).collect()] == ["from\nfile\n"]
+
+
+def test_file_metadata(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.TXT").write_text("12345")
+    (tmp_path / "sub" / "b.md").write_text("1")
+    rows = sorted((r.name, r.ext, r.length) for r in files.list_files(spark, str(tmp_path)).collect())
+    assert rows == [("a.TXT", "txt", 5), ("b.md", "md", 1)] and files.list_files(spark, str(tmp_path), "*.md").count() == 1
+
+
+def test_text_sink_and_executables(spark, tmp_path):
+    logs.write_text(spark.createDataFrame([("one\ntwo",)], "text string"), str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["one", "two"]
+    assert files.which("sh") and files.which("no-such-program-here") is None
