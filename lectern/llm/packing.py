@@ -11,6 +11,7 @@ dealt to the slots of the patterns.
 
 from __future__ import annotations
 
+import math
 import os
 import unicodedata
 import zlib
@@ -249,6 +250,24 @@ def class_size(length: Column, capacity: int) -> Column:
     return F.least(out, F.lit(capacity)).cast("int")
 
 
+def joined_classes(demand: dict[int, int], share: float = 0.002) -> dict[int, int]:
+    """The size to plan each size with: sizes of the same 16 tokens as one where that pads little.
+
+    Steps of 16 are joined, those that pad least first, while all padding together stays within ``share`` of
+    the tokens. The program then has fewer rows, and where all steps are joined, a 16th of the capacity.
+    """
+    top = lambda k: -(-k // CLASS_TOKENS) * CLASS_TOKENS
+    lost: dict[int, int] = {}
+    for k, n in demand.items():
+        lost[top(k)] = lost.get(top(k), 0) + (top(k) - k) * n
+    room, joined = share * sum(k * n for k, n in demand.items()), set()
+    for step, padding in sorted(lost.items(), key=lambda x: x[::-1]):
+        if padding <= room:
+            room -= padding
+            joined.add(step)
+    return {k: top(k) if top(k) in joined else k for k in demand}
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, rank_rows: int = RANK_ROWS) -> DataFrame:
     """Add ``sequence_id``, ``offset``, ``sequence_tokens`` and ``padded_tokens`` to rows with ``doc_id, start, length``.
 
@@ -259,8 +278,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, rank_rows: i
     spark: SparkSession = pieces.sparkSession
     # rows of a class are dealt to buckets by number, so neither ids nor repeated rows pile up in one
     classed = pieces.withColumn("class", class_size(F.col("length"), capacity)).withColumn("row", F.monotonically_increasing_id())
-    demand = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
-    slots = spark.createDataFrame(_slots(solve_patterns(demand, capacity)), "class int, low long, high long, times long, first long")
+    fine = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
+    joined, demand = {k: min(v, capacity) for k, v in joined_classes(fine).items()}, {}
+    for k, n in fine.items():
+        demand[joined[k]] = demand.get(joined[k], 0) + n
+    classed = classed.withColumn("class", lookup([joined.get(k, k) for k in range(capacity + 1)], F.col("class")).cast("int"))
+    unit = math.gcd(capacity, *demand)
+    patterns = [Pattern({k * unit: n for k, n in p.counts.items()}, p.times) for p in solve_patterns({k // unit: n for k, n in demand.items()}, capacity // unit)]
+    slots = spark.createDataFrame(_slots(patterns), "class int, low long, high long, times long, first long")
     spans = [max(1, -(-demand.get(k, 0) // rank_rows)) for k in range(capacity + 1)]
     bucketed = classed.withColumn("bucket", F.pmod(F.xxhash64("row"), lookup(spans, F.col("class"))))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -68,6 +68,14 @@ def test_short_documents_are_packed_tightly(spark):
     assert (out.sort_values("offset").groupby("sequence_id").length.apply(lambda x: x.cumsum().shift(fill_value=0)).to_numpy() == out.sort_values(["sequence_id", "offset"]).offset.to_numpy()).all()
 
 
+def test_joined_classes_pad_little():
+    rng = random.Random(7)
+    for demand in ({rng.randint(1, 4096): rng.randint(1, 900) for _ in range(500)}, {1: 10**6, 4096: 5}, {k: 1 for k in range(1, 33)}, {}):
+        joined = packing.joined_classes(demand)
+        assert joined.keys() == demand.keys() and all(k <= v < k + 16 for k, v in joined.items())
+        assert sum((joined[k] - k) * n for k, n in demand.items()) <= 0.002 * sum(k * n for k, n in demand.items())
+
+
 def test_size_classes(spark):
     found = spark.range(1, 4097).select("id", packing.class_size(F.col("id"), 4096).alias("c")).toPandas()
     assert (found.c >= found.id).all() and (found.c <= found.id * 33 / 32 + 15).all() and (found.c[:32] == found.id[:32]).all() and found.c.nunique() == 320 and found.c.max() == 4096
