@@ -83,14 +83,21 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     pairs = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
     # twice, where the links lie and by node: a node that is linked in many tasks is left with one link
     stars = cut(pairs.mapInArrow(_contract, "u long, v long").repartition("u").mapInArrow(_contract, "u long, v long"))
-    before = None
+    # nodes with one link, and that to a smaller node, follow it wherever it goes and need no rounds
+    inner = stars.select(F.col("v").alias("u")).distinct()
+    single = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1")
+    leaves = cut(single.join(inner, "u", "left_anti").select("u", "v"))
+    core, before = cut(stars.join(leaves.select("u"), "u", "left_anti")), None
     for _ in range(max_rounds):
-        stars = cut(_small_star(_large_star(stars)))
-        now = stars.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.expr("pmod(xxhash64(v, u), 1000000007)")).alias("s")).first()
+        now = core.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.expr("pmod(xxhash64(v, u), 1000000007)")).alias("s")).first()
         if now == before or not now["n"]:
             break
-        before = now
+        before, core = now, cut(_small_star(_large_star(core)))
     else:
         raise RuntimeError("connected components did not converge")
-    roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = core.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
+    known = core.unionByName(roots)
+    held = leaves.select(F.col("v").alias("u")).distinct().join(known, "u", "left").select("u", F.coalesce("v", "u").alias("component"))
+    rest = leaves.join(held.select(F.col("u").alias("v"), "component"), "v").select("u", "component")
+    alone = held.join(known.select("u"), "u", "left_anti")
+    return known.select("u", F.col("v").alias("component")).unionByName(rest).unionByName(alone).select(F.col("u").alias("node"), "component")

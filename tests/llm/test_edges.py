@@ -720,3 +720,15 @@ def test_pipeline_by_hand(spark, language_model):
     model = quality.train(spark.createDataFrame(docs), spark.read.parquet(f"{DIR}/labels.parquet"))
     docs = docs[[quality.score(model, t) >= quality.THRESHOLD for t in docs.text]]
     assert set(out.doc_id) == _by_brute_force(sorted(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)))
+
+
+def test_components_of_random_graphs(spark):
+    """Stars, chains and tangles against union-find, each node once."""
+    rng = random.Random(21)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1200)] + [(2000 + k, 2001 + k) for k in range(30)]
+    forest = components.Forest()
+    for a, b in edges:
+        forest.union(a, b)
+    found = [(r.node, r.component) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()]
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(found) == len(nodes) and dict(found) == {x: forest.find(x) for x in nodes}
