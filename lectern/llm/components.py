@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, release
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -54,6 +54,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(leaves), 50_000):
         part = leaves[i : i + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.find(x) for x in part], pa.int64())], schema=_EDGE)
+    del forest, leaves
+    release()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import lookup, require, small_batches
+from lectern.llm.common import lookup, release, require, small_batches
 
 SKETCH_SIZE, SHINGLE_WORDS = 128, 5
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -28,10 +28,10 @@ _LEAST = -(1 << 63)
 
 
 class _WordHashes(dict):
-    """XXH64 of words; emptied when it grows past a million words."""
+    """XXH64 of words; emptied when it grows past 200,000 words, and at the end of a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -40,6 +40,12 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def forget() -> None:
+    """Empty the store of words' hashes, as workers go on to other work."""
+    _HASHES.clear()
+    release()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Hashes with all bits depending on all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -177,8 +183,10 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield flush()
                     rows = []
             held = None if ghost else (doc, text, own)
+        release()
     if rows:
         yield flush()
+    forget()
 
 
 def _ranges(order: Column, low: int, high: int, cuts: list[int], fine: int) -> Column:

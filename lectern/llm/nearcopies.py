@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lectern.llm import simhash
 from lectern.llm.common import cut, keyed_groups, release, require, small_batches
 from lectern.llm.components import Forest, connected_components
-from lectern.llm.fingerprint import mixed, shingle_hashes
+from lectern.llm.fingerprint import forget, mixed, shingle_hashes
 
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
 SEGMENTS, SEGMENT_BITS, WEAK_BITS, CODES = 16, 23, 4, 3
@@ -38,7 +38,7 @@ CHECK_AT, CHECK_BITS, CHECK_MOST = SEGMENTS * SEGMENT_BITS, 128, 34
 #: Rows of a key that are compared in memory; all rows of a larger group are loosely linked.
 GROUP_ROWS = 4096
 #: Shingles that are compared in memory; a larger component is compared block by block.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
 _SEEDS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 _PATTERNS = np.array([[b >> i & 1 for i in range(WEAK_BITS)] for b in range(1 << WEAK_BITS)])
 _KEYS = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "label", "check_a", "check_b")])
@@ -72,23 +72,26 @@ def codes(margin: np.ndarray) -> np.ndarray:
 def _fingerprinted(shingle: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, rows = [], [[], [], [], []]
-            for text in batch.column(3).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                digest = xxhash.xxh3_128_digest(hashes.tobytes())
-                for column, value in zip(rows, (*np.frombuffer(digest, np.int64).tolist(), len(hashes)), strict=False):
-                    column.append(value)
-                sets.append(margins(hashes))
-            for at in range(0, len(sets), 128):
-                margin = np.stack(sets[at : at + 128])
+            digests, sizes, marks = [], [], []
+            texts = batch.column(3).to_pylist()
+            for at in range(0, len(texts), 128):
+                margin = np.empty((len(texts[at : at + 128]), 64 * WORDS), np.int64)
+                for k, text in enumerate(texts[at : at + 128]):
+                    hashes = shingle_hashes(text, shingle)
+                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    margin[k] = margins(hashes)
                 check = np.packbits(margin[:, CHECK_AT : CHECK_AT + CHECK_BITS] > 0, axis=1)
-                marks = np.concatenate([check, codes(margin).astype("<u2").reshape(len(margin), -1).view(np.uint8)], axis=1)
-                rows[3] += [x.tobytes() for x in marks]
+                found = np.concatenate([check, codes(margin).astype("<u2").reshape(len(margin), -1).view(np.uint8)], axis=1)
+                marks += [x.tobytes() for x in found]
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.binary())],
+                [*batch.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())],
                 names=["doc_id", "key_a", "key_b", "set_a", "set_b", "n", "mark"],
             )
+            del batch, texts, digests, marks
             release()
+        forget()
 
     return run
 
@@ -156,12 +159,13 @@ def _loosely(limit: int):  # noqa: ANN202
                 if (names == names[0]).all():
                     continue
                 forest, found = Forest(), []
-                for at in range(0, size, 512):
-                    far = np.bitwise_count(x[at : at + 512, None] ^ x[None, :]) + np.bitwise_count(y[at : at + 512, None] ^ y[None, :])
-                    i, j = np.nonzero((far <= CHECK_MOST) & (names[at : at + 512, None] < names[None, :]))
+                for at in range(0, size, 128):
+                    far = np.bitwise_count(x[at : at + 128, None] ^ x[None, :]) + np.bitwise_count(y[at : at + 128, None] ^ y[None, :])
+                    i, j = np.nonzero((far <= CHECK_MOST) & (names[at : at + 128, None] < names[None, :]))
                     found += [pair for pair in zip(names[i + at].tolist(), names[j].tolist(), strict=True) if forest.union(*pair)]
                 if found:
                     yield _pairs(*np.array(found).T)
+        release()
 
     return run
 
@@ -176,9 +180,9 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     if not sets:
         return []
     sizes, forest, found = np.array([len(s) for s in sets]), Forest(), []
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
-    common, ends = np.bincount(place, minlength=len(values)), np.cumsum(sizes)
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(place, kind="stable")]
+    common, ends = np.bincount(place), np.cumsum(sizes)
     bounds = np.r_[0, np.cumsum(common)]
     order = np.argsort(-np.add.reduceat(common[place], ends - sizes) / sizes, kind="stable").tolist()
     label, members = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
@@ -218,6 +222,8 @@ def _exactly(similarity: float):  # noqa: ANN202
                 rows[node] = np.frombuffer(raw, np.uint64)
         if len(rows) > 1:
             yield links(rows)
+        rows.clear()
+        release()
 
     return run
 
@@ -228,6 +234,7 @@ def _shingled(shingle: int):  # noqa: ANN202
             sets = [shingle_hashes(x, shingle).tobytes() for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["component", "i", "j", "node", "hashes"])
             release()
+        forget()
 
     return run
 
