@@ -7,7 +7,7 @@ reversibly, so marks in the output are always the template's own.
 
 Turns are dealt once, by conversation and block of turns, and everything but a small table of blocks
 stays where it is: windows lie within blocks, prefix sums are made within blocks and then over blocks,
-and a block gets the last turns of the one before as its first history. So a conversation that holds a
+and a block gets the last turns before it as its first history. So a conversation that holds a
 third of all turns is spread over many tasks, and texts are shuffled once.
 """
 
@@ -49,8 +49,8 @@ def _turn(*names: str) -> Column:
 def _placed(turns: DataFrame, history_turns: int) -> DataFrame:
     """Turns with their number ``n`` and the tokens before them in their block, and what the block needs to know.
 
-    That is the turns before the block, the conversation's system turn or null, and the last turns of the
-    block before.
+    That is the turns before the block, the conversation's system turn or null, and the last turns before
+    the block, nearest first, from however many blocks.
     """
     cut = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))))
     order = Window.partitionBy("cid", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
@@ -60,13 +60,19 @@ def _placed(turns: DataFrame, history_turns: int) -> DataFrame:
     left = F.count("*").over(Window.partitionBy("cid", "block")) - F.col("n")
     head = F.min(F.when(F.col("n") == 0, _turn("role", "text", "tokens")))
     blocks = local.withColumn("left", left).groupBy("cid", "block").agg(F.count("*").alias("rows"), head.alias("head"), tail.alias("tail"))
-    # one row per 256 turns of a conversation
+    # one row per 256 turns of a conversation; every block has a turn, so the last turns lie in as many blocks
     over = Window.partitionBy("cid").orderBy("block")
     first = F.first("head").over(over)
+    none = F.array().cast(blocks.schema["tail"].dataType)
+    tails = [F.coalesce(F.lag("tail", k).over(over), none) for k in range(1, history_turns + 1)]
+    rows_before = F.coalesce(F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = blocks.select(
-        F.col("cid").alias("base_cid"), F.col("block").alias("base_block"), F.coalesce(F.sum("rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
-        F.when(first["role"] == "system", first).alias("system"), F.lag("tail").over(over).alias("tail"),
-    )
+        F.col("cid").alias("base_cid"),
+        F.col("block").alias("base_block"),
+        rows_before.alias("rows_before"),
+        F.when(first["role"] == "system", first).alias("system"),
+        (F.slice(F.concat(*tails), 1, history_turns) if tails else none).alias("tail"),
+    )
     return local.join(bases, F.expr("cid = base_cid and block = base_block")).drop("base_cid", "base_block")
 
 
@@ -80,7 +86,7 @@ def windows(
     ``history_turns`` turns of at most ``history_tokens`` together) and goes on with ``n_turns`` new ones,
     the first of which is the conversation's ``first_turn``-th. ``loss`` lists start and length, in code
     points of ``formatted``, of the new assistant texts. Windows keep to ``budget`` tokens; a turn that
-    can't is a window of its own, whole. Windows don't cross blocks of 256 turn numbers.
+    can't is a window of its own, whole. Windows don't cross blocks of 256 turn numbers; history does.
 
     Null texts and roles count as empty, turns are ordered by number, role and text, null numbers first,
     so repeated rows follow each other. Null conversation ids form one conversation. No rows give no
@@ -97,22 +103,24 @@ def windows(
     # new turns begin in the same half of the room; one longer than half of it ends its cell and stands alone
     half = F.floor(room / 2)
     placed = placed.withColumn("cell", F.floor(F.col("before") / half) * 2 + (F.col("tokens") > half).cast("long"))
+    # the turns before the block serve its first turns only, so only they carry them
+    none = F.array().cast(placed.schema["tail"].dataType)
+    placed = placed.withColumn("tail", F.when(F.col("n") < history_turns, F.col("tail")).otherwise(none))
     order = Window.partitionBy("cid", "block").orderBy("n")
-    past = F.array(*[F.lag(_turn("n", "role", "text", "tokens"), k).over(order) for k in range(1, history_turns + 1)]) if history_turns else F.array().cast(placed.schema["tail"].dataType)
+    lags = [F.lag(_turn("n", "role", "text", "tokens"), k).over(order) for k in range(1, history_turns + 1)]
+    past = F.slice(F.concat(F.filter(F.array(*lags), lambda h: h.isNotNull()), "tail"), 1, history_turns) if lags else none
     starts = ~F.lag("cell").over(order).eqNullSafe(F.col("cell"))
-    marked = placed.withColumn("past", F.when(starts, F.when(F.col("n") == 0, F.col("tail")).otherwise(F.filter(past, lambda h: h.isNotNull()))))
+    marked = placed.withColumn("past", F.when(starts, past))
     # a window holds at most its budget, or one long turn with its repeats
     whole = marked.groupBy("cid", "block", "cell").agg(
         F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(_turn("n", "role", "text"))).alias("turns"), F.sum("tokens").alias("tokens"), F.first("system").alias("system"),
-        F.first("rows_before").alias("rows_before"), F.coalesce(F.first("past", ignorenulls=True), F.array().cast(placed.schema["tail"].dataType)).alias("past"),
+        F.first("rows_before").alias("rows_before"), F.coalesce(F.first("past", ignorenulls=True), none).alias("past"),
     )
     whole = whole.withColumn("first_turn", F.col("rows_before") + F.get("turns", F.lit(0))["n"])
-    # the system turn is the first block's turn 0; history nearest first, until its tokens are used up
-    opening = F.col("system").isNotNull() & (F.when(F.get("turns", F.lit(0))["n"] == 0, F.lit(False)).otherwise(F.col("rows_before") == 0))
-    past = F.filter("past", lambda h: ~(opening & (h["n"] == 0)))
-    after_first = F.col("system").isNotNull() & (F.col("rows_before") > 0) & (F.get("turns", F.lit(0))["n"] == 0) & (F.col("rows_before") == F.size("past"))
-    past = F.filter(past, lambda h: ~(after_first & (h["n"] == 0)))
-    whole = whole.withColumn("past", past)
+    # history is nearest first, so its k-th turn has this number; turn 0 is repeated as the system turn already
+    number = lambda k: F.col("first_turn") - 1 - k
+    whole = whole.withColumn("past", F.filter("past", lambda h, k: F.col("system").isNull() | (number(k) > 0)))
+    # until its tokens are used up
     spent = lambda i: F.aggregate(F.slice("past", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, h: a + h["tokens"])
     whole = whole.withColumn("past", F.reverse(F.filter("past", lambda h, i: spent(i) <= history_tokens)))
     has_system = F.col("system").isNotNull() & (F.col("first_turn") > 0)

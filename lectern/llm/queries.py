@@ -142,16 +142,16 @@ WITH t AS (
          {_escaped("role")} + {_escaped("text")} + 11 AS chars, coalesce(turn // {chat.BLOCK_TURNS}, -1) AS block FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), p AS (
   SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         first(role) OVER w = 'system' AS sys, first(tok) OVER w AS sys_tok, first(chars) OVER w AS sys_chars, lag(block) OVER w AS last_block FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+         first(role) OVER w = 'system' AS sys, first(tok) OVER w AS sys_tok, first(chars) OVER w AS sys_chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n)
 ), q AS (
   SELECT *, greatest(2, {chat.WINDOW_TOKENS - chat.HISTORY_TOKENS} - CASE WHEN sys THEN sys_tok ELSE 0 END) // 2 AS half FROM p
 ), w AS (
   SELECT *, (before // half) * 2 + CASE WHEN tok > half THEN 1 ELSE 0 END AS win FROM q
 ), f AS (
-  SELECT conv_id, block, win, min(n) AS first, min_by(last_block, n) AS past_block, CASE WHEN any_value(sys) AND min(n) > 0 THEN any_value(sys_chars) ELSE 0 END AS extra FROM w GROUP BY conv_id, block, win
+  SELECT conv_id, block, win, min(n) AS first, CASE WHEN any_value(sys) AND min(n) > 0 THEN any_value(sys_chars) ELSE 0 END AS extra FROM w GROUP BY conv_id, block, win
 ), h AS (
   SELECT f.conv_id, w.chars, sum(w.tok) OVER (PARTITION BY f.conv_id, f.first ORDER BY w.n DESC) AS upto
-  FROM f JOIN w ON w.conv_id = f.conv_id AND w.block = f.past_block AND w.n < f.first AND w.n >= f.first - {chat.HISTORY_TURNS} AND NOT (w.sys AND w.n = 0)
+  FROM f CROSS JOIN range(1, {chat.HISTORY_TURNS + 1}) AS ago(k) JOIN w ON w.conv_id = f.conv_id AND w.n = f.first - ago.k AND NOT (w.sys AND w.n = 0)
 ), c AS (
   SELECT conv_id, sum(chars) AS chars FROM (
     SELECT conv_id, chars FROM w UNION ALL SELECT conv_id, extra FROM f UNION ALL SELECT conv_id, chars FROM h WHERE upto <= {chat.HISTORY_TOKENS}

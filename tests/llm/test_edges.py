@@ -467,6 +467,48 @@ def odd_turns(spark):
     return df
 
 
+def _windows_by_hand(turns, budget, history_turns, history_tokens):
+    """First turn, repeated turns' numbers and new turns' numbers of every window of one conversation."""
+    turns = sorted(turns)
+    size = [-(-len(text.encode()) // chat.TOKEN_CHARS) + chat.TURN_TOKENS for _, _, text in turns]
+    system = turns[0][1] == "system"
+    half = max(2, budget - history_tokens - (size[0] if system else 0)) // 2
+    cells, before, block = {}, 0, None
+    for n, (number, _, _) in enumerate(turns):
+        if number // chat.BLOCK_TURNS != block:
+            before, block = 0, number // chat.BLOCK_TURNS
+        cells.setdefault((block, before // half, size[n] > half), []).append(n)
+        before += size[n]
+    out = []
+    for new in sorted(cells.values()):
+        past, left = [], history_tokens
+        for n in range(new[0] - 1, max(-1, new[0] - 1 - history_turns), -1):
+            left -= size[n]
+            if left < 0 or (system and n == 0):
+                break
+            past.insert(0, n)
+        out.append((new[0], ([0] if system and new[0] else []) + past, new))
+    return turns, out
+
+
+@pytest.mark.parametrize("history_turns", [0, 2, 3])
+def test_chat_history_crosses_blocks(spark, history_turns):
+    rows = []
+    for conv, step, opening in ((1, 1, "system"), (2, 300, "system"), (3, 300, "user"), (4, 86_400, "user"), (5, 100, "system")):
+        for i in range(520 if step == 1 else 12):
+            role = opening if i == 0 else ("user", "assistant")[i % 2]
+            rows.append((conv, i * step, role, f"{conv} {i} " + "word " * (i % 7)))
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 200, history_turns, 60)
+    found = sorted(made.collect(), key=lambda r: (r.conv_id, r.first_turn))
+    expected = []
+    for conv in range(1, 6):
+        turns, cut = _windows_by_hand([r[1:] for r in rows if r[0] == conv], 200, history_turns, 60)
+        for first, old, new in cut:
+            text = "".join(f"<|{turns[n][1]}|>{turns[n][2]}<|end|>" for n in old + new)
+            expected.append((conv, first, len(old), len(new), text))
+    assert [(r.conv_id, r.first_turn, r.n_repeated, r.n_turns, r.formatted) for r in found] == expected
+
+
 def test_chat(odd_turns):
     made = chat.windows(odd_turns, budget=200, history_tokens=40).cache()
     rows = made.collect()
