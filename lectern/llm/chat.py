@@ -78,7 +78,7 @@ def _placed(turns: DataFrame, history_turns: int) -> DataFrame:
 
 def windows(
     conversations: DataFrame, budget: int = WINDOW_TOKENS, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS,
-    id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens_col: str | None = None,
 ) -> DataFrame:
     """Formatted windows: ``conv_id, first_turn, n_turns, n_repeated, n_tokens, formatted, loss``.
 
@@ -87,22 +87,35 @@ def windows(
     the first of which is the conversation's ``first_turn``-th. ``loss`` lists start and length, in code
     points of ``formatted``, of the new assistant texts. Windows keep to ``budget`` tokens; a turn that
     can't is a window of its own, whole. Windows don't cross blocks of 256 turn numbers; history does.
+    ``tokens_col`` holds the tokens of each text (null: none); without it four bytes are taken as one.
+    The template's marks count as ``TURN_TOKENS`` more.
 
     Null texts and roles count as empty, turns are ordered by number, role and text, null numbers first,
     so repeated rows follow each other. Null conversation ids form one conversation. No rows give no
     windows; other columns are not looked at.
     """
-    require(conversations, id_col, turn_col, role_col, text_col)
+    require(conversations, id_col, turn_col, role_col, text_col, *([tokens_col] if tokens_col else []))
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.coalesce(F.col(role_col), F.lit(""))
     conv = F.col(id_col).cast("long")
-    turns = conversations.select(conv.alias("conv_id"), F.coalesce(conv.cast("string"), F.lit("")).alias("cid"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    turns = turns.withColumn("tokens", F.expr(f"cast((octet_length(text) + {TOKEN_CHARS - 1}) div {TOKEN_CHARS} + {TURN_TOKENS} as long)"))
+    given = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)) if tokens_col else None
+    guessed = F.floor((F.octet_length(text) + (TOKEN_CHARS - 1)) / TOKEN_CHARS)
+    turns = conversations.select(
+        conv.alias("conv_id"),
+        F.coalesce(conv.cast("string"), F.lit("")).alias("cid"),
+        F.col(turn_col).cast("long").alias("turn"),
+        role.alias("role"),
+        text.alias("text"),
+        ((guessed if given is None else given) + TURN_TOKENS).cast("long").alias("tokens"),
+    )
     placed = _placed(turns, history_turns)
     room = F.greatest(F.lit(2), F.lit(budget - history_tokens) - F.coalesce(F.col("system.tokens"), F.lit(0)))
-    # new turns begin in the same half of the room; one longer than half of it ends its cell and stands alone
+    # new turns of a window begin within a step that leaves room for the block's longest; where that is more
+    # than half the room, the step is half, and a longer turn reaches beyond its step and stands alone
     half = F.floor(room / 2)
-    placed = placed.withColumn("cell", F.floor(F.col("before") / half) * 2 + (F.col("tokens") > half).cast("long"))
+    longest = F.max("tokens").over(Window.partitionBy("cid", "block"))
+    placed = placed.withColumn("step", room - F.least(half, longest))
+    placed = placed.withColumn("cell", F.floor(F.col("before") / F.col("step")) * 2 + (F.col("tokens") > half).cast("long"))
     # the turns before the block serve its first turns only, so only they carry them
     none = F.array().cast(placed.schema["tail"].dataType)
     placed = placed.withColumn("tail", F.when(F.col("n") < history_turns, F.col("tail")).otherwise(none))
@@ -148,6 +161,9 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     ``turns`` are the new turns' role and text in order, ``targets`` the unescaped texts under the loss
     mask; both come from ``formatted`` alone, with ``n_repeated`` and ``loss`` as bounds.
+
+    Every window gives one row, repeated ones too; null ids stay null, empty texts come back empty and no
+    windows give no rows. Null ``formatted`` or bounds give null turns; other columns are not looked at.
     """
     sections = F.slice(F.split("formatted", r"<\|end\|>", -1), F.lit(1), (F.col("n_repeated") + F.col("n_turns")).cast("int"))
     headed = F.transform(sections, lambda x: F.struct(F.substring_index(x, _CLOSE, 1).alias("head"), x.alias("all")))

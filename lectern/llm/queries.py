@@ -144,9 +144,11 @@ WITH t AS (
   SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
          first(role) OVER w = 'system' AS sys, first(tok) OVER w AS sys_tok, first(chars) OVER w AS sys_chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n)
 ), q AS (
-  SELECT *, greatest(2, {chat.WINDOW_TOKENS - chat.HISTORY_TOKENS} - CASE WHEN sys THEN sys_tok ELSE 0 END) // 2 AS half FROM p
+  SELECT *, greatest(2, {chat.WINDOW_TOKENS - chat.HISTORY_TOKENS} - CASE WHEN sys THEN sys_tok ELSE 0 END) AS room, max(tok) OVER (PARTITION BY conv_id, block) AS longest FROM p
+), s AS (
+  SELECT *, room // 2 AS half, room - least(room // 2, longest) AS step FROM q
 ), w AS (
-  SELECT *, (before // half) * 2 + CASE WHEN tok > half THEN 1 ELSE 0 END AS win FROM q
+  SELECT *, (before // step) * 2 + CASE WHEN tok > half THEN 1 ELSE 0 END AS win FROM s
 ), f AS (
   SELECT conv_id, block, win, min(n) AS first, CASE WHEN any_value(sys) AND min(n) > 0 THEN any_value(sys_chars) ELSE 0 END AS extra FROM w GROUP BY conv_id, block, win
 ), h AS (
