@@ -27,7 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the languages that ``docs`` itself is labelled with.
 
     Rejected: texts without letters and texts that resemble no language. Without any labelled text
-    nothing can be learned and only texts without letters go.
+    nothing can be learned and only texts without letters go. Repeated rows stay or go alike, other columns are
+    carried along and an empty table gives no rows.
     """
     small_batches(spark)
     try:
@@ -40,7 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the line classifier, learned from the labels of ``docs``, holds for bad.
 
-    Without labels nothing is dropped.
+    Without labels nothing is dropped. Null and empty texts are judged as one empty line; repeated rows stay or
+    go alike, null ids have no label, other columns are carried along and an empty table gives no rows.
     """
     small_batches(spark)
     try:
@@ -53,8 +55,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest id, once if it is repeated.
 
-    Near copies share 0.8 or more of their five-word shingles. Rows are told apart by id and text. Documents without an id come last, so one of them is kept only
-    where its component has no id at all; of several texts under one id the least by hash comes first.
+    Near copies share 0.8 or more of their five-word shingles. Rows are told apart by id and text. Documents
+    without an id come last, so one of them is kept only where its component has no id at all; of several texts
+    under one id the least by hash comes first. Other columns are carried along, whatever their names, and an
+    empty table gives no rows.
     """
     keep = nearcopies.representatives(docs)
     keyed = docs.select(*nearcopies.row_key(), F.struct("*").alias("row")).join(keep, ["key_a", "key_b"], "left_semi")
@@ -64,7 +68,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all that is left into sequences of 4096 tokens: one row per piece."""
+    """Pack all that is left into sequences of 4096 tokens: one row per piece.
+
+    A null text is empty and is packed as its closing token. Repeated rows and rows without an id are packed like
+    any others, other columns are not looked at and an empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
