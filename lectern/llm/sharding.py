@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Language, source and size are quantised to sixteen equally filled steps each; a Hilbert index over the
-three steps orders the documents so that a run of the order covers a compact box in all dimensions,
-which file statistics can prune. The order is cut into runs whose row counts differ by at most one.
+Language, source and size are quantised to sixteen equally filled steps each, by exact quantiles of all
+rows; a Hilbert index over the three steps orders the documents so that a run of the order covers a compact
+box in all dimensions, which file statistics can prune. The order is cut into runs whose row counts differ by at most one.
 
 The rank of a row in the whole order never needs one task to see all rows: Hilbert cells are split into
 chunks by hash in proportion to their rows, chunk counts are summed up, and rows are numbered within
@@ -11,6 +11,8 @@ chunks.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ BITS, DIMENSIONS = 4, 3
 LAW = "rows"
 #: Rows that one task numbers together, about.
 CHUNK_ROWS = 100_000
-#: Distinct languages or sources whose counts reach the driver, about: common ones and a sample of others.
-CUT_VALUES = 10_000
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -56,23 +56,23 @@ def curve_table(bits: int = BITS) -> list[int]:
     return [hilbert_index((a, b, c), bits) for a in side for b in side for c in side]
 
 
-def _string_cuts(rows: DataFrame, column: str, total: int, shares: list[float]) -> list[str]:
-    """Values that a column of strings, in value order and nulls first, reaches at some shares of its rows.
+def _cuts(rows: DataFrame, column: str, total: int) -> list:
+    """Values that a column, in value order and nulls first, reaches at every sixteenth of its ``total`` rows.
 
-    Values are counted whole. All counts are used if they are few, else the counts of all common values
-    and of a sample of the others by hash.
+    All values are counted whole, and all counts are summed up in order: tasks hold ranges of the values, and
+    the driver gets a sum for each range and the values that reach a share, fifteen at most. Where the ranges
+    end changes no result.
     """
-    counts = cut(rows.groupBy(F.col(column).alias("value")).count())
-    sampled, common, span = min(1.0, CUT_VALUES / max(counts.count(), 1)), total / CUT_VALUES, 1 << 30
-    known = counts.where((F.col("count") >= common) | (F.pmod(F.xxhash64("value"), F.lit(span)) < int(sampled * span)))
-    weights = [(r["value"], r["count"] if r["count"] >= common else r["count"] / sampled) for r in known.collect()]
-    weights.sort(key=lambda w: (w[0] is not None, w[0] or ""))
-    whole, sum_to, cuts = sum(w for _, w in weights), 0, []
-    for value, weight in weights:
-        sum_to += weight
-        while len(cuts) < len(shares) and sum_to >= shares[len(cuts)] * whole:
-            cuts.append(value)
-    return [c for c in cuts if c is not None]
+    order, shares, total = F.col("value").asc_nulls_first(), 1 << BITS, max(total, 1)
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    # ranges are kept, so that they are the same in both passes
+    dealt = cut(counts.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    sums = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    before = [0, *accumulate(sums.get(k, 0) for k in range(max(sums, default=0)))]
+    reaching = [k for k, n in sums.items() if (before[k] + n) * shares // total > before[k] * shares // total]
+    upto = lookup(before, F.col("part")) + F.sum("n").over(Window.partitionBy("part").orderBy(order))
+    reached = f"least(upto * {shares} div {total}, {shares - 1}) > (upto - n) * {shares} div {total}"
+    return [r["value"] for r in dealt.where(F.col("part").isin(reaching)).withColumn("upto", upto).where(reached).collect() if r["value"] is not None]
 
 
 def _steps(x: Column, cuts: list) -> Column:
@@ -101,10 +101,8 @@ def hilbert_shards(
             F.col(lang_col).alias("d0"), F.col(source_col).alias("d1"), F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()).alias("h"),
         )
     )
-    shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
-    quantiles = slim.agg(F.count("*").alias("n"), F.percentile_approx("size", shares, 10_000).alias("size")).first()
-    total = quantiles["n"]
-    cuts = {c: _string_cuts(slim, c, total, shares) for c in ("d0", "d1")} | {"size": quantiles["size"] or []}
+    total = slim.count()
+    cuts = {c: _cuts(slim, c, total) for c in ("d0", "d1", "size")}
     cell = F.lit(0)
     for c in ("d0", "d1", "size"):
         cell = cell * (1 << BITS) + _steps(F.col(c), cuts[c])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import numpy as np
@@ -375,6 +376,29 @@ def test_sharding_tells_values_with_a_common_beginning_apart(spark, monkeypatch,
     assert out.groupby("shard").source.nunique().max() <= 80 and out.groupby("shard").lang.nunique().mean() < 2
 
 
+def test_sharding_cuts_many_values_exactly(spark):
+    """Steps of 24,000 distinct sources, some of them common, are those of all rows, whatever tasks hold them."""
+    source = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 5 = 0 THEN 'https://7' ELSE concat('https://', md5(string(id))) END"
+    docs = spark.range(36_000).selectExpr("id AS doc_id", "repeat('t', int(id * 7919 % 997)) AS text", "concat('l', id % 3) AS lang", f"{source} AS source")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        out = {r.doc_id: r.hilbert for r in sharding.hilbert_shards(docs).collect()}
+    finally:
+        spark.conf.unset(name)
+
+    def steps(values):
+        ranked = sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
+        cuts = sorted({ranked[-(-len(ranked) * k // 16) - 1] for k in range(1, 16)} - {None})
+        return [0 if v is None else bisect.bisect_right(cuts, v) for v in values]
+
+    rows = docs.orderBy("doc_id").collect()
+    columns = [steps([r.lang for r in rows]), steps([r.source for r in rows]), steps([len(r.text) for r in rows])]
+    table = sharding.curve_table()
+    assert len({r.source for r in rows}) > 24_000
+    assert [out[r.doc_id] for r in rows] == [table[(a * 16 + b) * 16 + c] for a, b, c in zip(*columns, strict=True)]
+
+
 def test_written_shards_are_pruned(spark, odd, tmp_path):
     """Every row is written once, null and repeated ids too, and file statistics tell most files out of a small box."""
     import pyarrow.parquet as pq
